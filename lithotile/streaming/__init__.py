@@ -1,0 +1 @@
+"""The lake has no streaming operator; batch plans take static DataFrames."""
