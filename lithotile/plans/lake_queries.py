@@ -1,4 +1,288 @@
-"""Registered queries of the spatial lake."""
+"""Registered queries of the spatial lake on the driver's tables, each with the SQL that DuckDB runs beside it.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+orders stand for map features, part for raw buildings: both are projected with integer arithmetic that is the same on both
+engines. Every query reads its whole table; limits are those of the viewport service.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo, scoring, zoom as Z
+from ..operators import metrics as M
+from ..operators import viewport as V
+from ..session import ship
+from ..sources import lake
+from ..sources import registry as R
+
+BOX = (36.70, -1.40, 36.90, -1.20)
+MINUTE = "20250101T0000"
+KENYA = R.BUILDINGS.get("kenya-buildings")
+KENYA_ENRICHED = R.BuildingDataset("KE", "", "kenya", ("1223", "1232", "1233"), h3_enriched=True)
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _lng(key: str):  # noqa: ANN202
+    return ((F.col(key) * 7919) % 30011) / 1e5 + 36.65
+
+
+def _lat(key: str):  # noqa: ANN202
+    return ((F.col(key) * 104729) % 30011) / 1e5 - 1.45
+
+
+def tagged(spark: SparkSession, d: str) -> DataFrame:
+    """orders as source rows: feature_id, tags, country, lng, lat."""
+    o = _read(spark, d, "orders")
+    p, k = F.substring("o_orderpriority", 1, 1), F.col("o_custkey")
+    building = F.element_at(F.array(*map(F.lit, ("residential", "commercial", "Mall", ""))), (k % 4 + 1).cast("int"))
+    amenity = F.element_at(F.array(*map(F.lit, ("hospital", "university", "cafe"))), (k % 3 + 1).cast("int"))
+    highway = F.element_at(F.array(*map(F.lit, ("motorway", "trunk", "primary", "secondary", "tertiary", "track"))), (k % 6 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    tags = F.map_filter(
+        F.map_from_arrays(F.array(*map(F.lit, ("highway", "building", "amenity", "landuse", "population"))), F.array(F.when(p == "1", highway).otherwise(none), F.when(p == "2", building).otherwise(none), F.when(p == "3", amenity).otherwise(none), F.when(p == "4", F.lit("forest")).otherwise(none), F.when(k % 7 == 0, (k * 3).cast("string")).otherwise(none))),
+        lambda _, v: v.isNotNull(),
+    )
+    return o.select(F.concat(F.lit("node/"), F.col("o_orderkey").cast("string")).alias("feature_id"), tags.alias("tags"), F.when(k % 2 == 0, "kenya").otherwise("canary-islands").alias("country"), _lng("o_orderkey").alias("lng"), _lat("o_orderkey").alias("lat"))
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """orders as staged features with cells and tiles."""
+    t = F.col("tags")
+    x = tagged(spark, d).select(
+        "feature_id", scoring.feature_type(t).alias("feature_type"), F.col("lat").alias("centroid_lat"), F.col("lng").alias("centroid_lng"), F.col("country").alias("country_code"),
+        *[t[c].alias(c) for c in ("highway", "building", "amenity", "landuse")], scoring.try_int(t["population"]).alias("population"), scoring.road_class(t["highway"]).alias("road_class"),
+        F.lit(None).cast("string").alias("occupancy"), F.lit(None).cast("double").alias("area_m2"),
+    )
+    return M.with_cells(x)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return M.enrich(features(spark, d), MINUTE)
+
+
+def buildings(spark: SparkSession, d: str) -> DataFrame:
+    """part as raw building rows."""
+    k, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    height = F.when(k % 5 == 0, F.concat(F.lit("H:"), s)).when(k % 5 == 1, F.concat(F.lit("HBET:"), s, F.lit("-"), (F.col("p_size") + 2).cast("string"))).when(k % 5 == 2, F.concat(F.lit("HHT:"), s, F.lit(".5"))).when(k % 5 == 3, s)
+    kind = F.create_map(*[F.lit(x) for x in ("ECONOMY", "RES", "STANDARD", "RES", "LARGE", "COM", "MEDIUM", "IND", "PROMO", "CIV", "SMALL", "UNK")])
+    half = F.col("p_size") * 1e-5
+    lng, lat = _lng("p_partkey"), _lat("p_partkey")
+    return _read(spark, d, "part").select(
+        k.alias("id"), F.lit(None).cast("string").alias("floorspace"), kind[F.col("p_type")].alias("occupancy"), F.lit(None).cast("string").alias("relation_id"),
+        F.concat(F.element_at(F.array(*map(F.lit, ("1223", "1232", "1233", "1202"))), (k % 4 + 1).cast("int")), k.cast("string")).alias("quadkey"), height.alias("height"),
+        F.struct((lng - half).alias("xmin"), (lat - half).alias("ymin"), (lng + half).alias("xmax"), (lat + half).alias("ymax")).alias("bbox"),
+    )
+
+
+def cell_buildings(spark: SparkSession, d: str) -> DataFrame:
+    """part as enriched building rows: centroids, cells, area from the box."""
+    x = buildings(spark, d)
+    lng, lat = V.bbox_center()
+    x = x.select(F.concat(F.lit("building/"), F.col("id").cast("string")).alias("feature_id"), "occupancy", scoring.height_m(F.col("height")).alias("height_m"), lng.alias("centroid_lng"), lat.alias("centroid_lat"), V.bbox_area_m2().alias("area_m2"))
+    return M.with_cells(x)
+
+
+def _r(*cols: str):  # noqa: ANN202
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+def _bbox(zoom: int):  # noqa: ANN202
+    return lambda s, d: V.query_bbox(scored(s, d), BOX, zoom).select("feature_id", "entropy_bucket", F.col("importance_byte").cast("int").alias("importance_byte"))
+
+
+def _towns_boxes(s: SparkSession) -> DataFrame:
+    t = R.towns_df(s)
+    return t.select("key", (F.col("lng") - F.col("lng_extent")).alias("sw_lng"), (F.col("lat") - F.col("lat_extent")).alias("sw_lat"), (F.col("lng") + F.col("lng_extent")).alias("ne_lng"), (F.col("lat") + F.col("lat_extent")).alias("ne_lat"))
+
+
+def _stats(s: SparkSession, d: str) -> DataFrame:
+    return lake.tile_stats(M.with_cells(scored(s, d), zoom=12).withColumn("compressed_size_bytes", F.length("feature_id").cast("long") * 100).withColumn("zorder_key", F.lit(0)))
+
+
+def _roundtrip(s: SparkSession, d: str) -> DataFrame:
+    from ..sources.shared import folder
+
+    path = f"{folder(s)}/lake"
+    x = scored(s, d).withColumn("zorder_key", scoring.zorder_key(geo.cell_to_long(F.col("h3_10")), F.col("feature_id"))).withColumn("compressed_size_bytes", F.lit(0).cast("long"))
+    lake.write_lake(x, path)
+    back = lake.scan_lake(s, path)
+    return back.groupBy(*lake.TILE).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("importance_byte").cast("long")).alias("importance"))
+
+
+def _nearest(s: SparkSession, d: str) -> DataFrame:
+    km = geo.haversine_m(F.col("centroid_lat"), F.col("centroid_lng"), F.lit(-1.2921), F.lit(36.8219))
+    return V.top(features(s, d).select("feature_id", F.round(km, 3).alias("meters")), 20, F.asc("meters"), F.asc("feature_id"))
+
+
+def _zooms(s: SparkSession, _: str) -> DataFrame:
+    rows = [tuple(Z.describe(z, -1.2921).values())[:1] + (Z.semantic_level(z), Z.resolution_for_zoom(z), Z.feature_limit(z), Z.importance_threshold(z)) for z in range(21)]
+    return s.createDataFrame(rows, "zoom int, semantic_level string, h3_resolution int, feature_limit int, importance_threshold int")
+
+
+def _previous(f: DataFrame) -> DataFrame:
+    return M.cell_metrics(f.filter("cast(substring(feature_id, 6) as long) % 2 = 0")).select("h3_8", F.col("entropy_score").alias("old_entropy"), F.col("entropy_bucket").alias("old_bucket"))
+
+
+def _hysteresis(s: SparkSession, d: str) -> DataFrame:
+    f = features(s, d)
+    x = M.cell_metrics(f).join(_previous(f), "h3_8", "left")
+    return x.select("h3_8", scoring.hysteresis(F.col("entropy_score"), F.col("old_entropy"), F.col("entropy_bucket"), F.col("old_bucket")).alias("bucket"))
+
+
+def _encode(s: SparkSession, d: str) -> DataFrame:
+    x = V.encode_raw_buildings(buildings(s, d).withColumns({"last_update": F.lit(None).cast("timestamp"), "source": F.lit("OSM")}))
+    return x.select("type", F.get_json_object("geometry", "$.type").alias("geometry_type"), F.get_json_object("properties", "$.id").cast("long").alias("id"), F.get_json_object("properties", "$.height_m").cast("double").alias("height_m"), F.round(F.get_json_object("properties", "$.bbox_area_m2").cast("double"), 1).alias("bbox_area_m2"))
+
+
+_RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "feature_type_case": lambda s, d: features(s, d).select("feature_id", "feature_type"),
+    "road_class_case": lambda s, d: features(s, d).select("feature_id", F.col("road_class").cast("int").alias("road_class")),
+    "tag_map_extract": lambda s, d: features(s, d).select("feature_id", "highway", "building", "amenity", "landuse", "population"),
+    "quadtree_tile": lambda s, d: features(s, d).select("feature_id", "tile_z", "tile_x", "tile_y"),
+    "cell_ids": lambda s, d: features(s, d).select("feature_id", "h3_7", "h3_8", "h3_9", "h3_10"),
+    "source_filter": lambda s, d: tagged(s, d).withColumn("geometry", F.lit("x")).filter(R.DATASETS.get("kenya").source_filter()).select("feature_id", "country"),
+    "quadkey_prefix_filter": lambda s, d: buildings(s, d).filter(KENYA.quadkey_filter()).select("id", "quadkey"),
+    "quadkey_caller_prefix": lambda s, d: buildings(s, d).filter(KENYA.quadkey_filter("12021")).select("id", "quadkey"),
+    "building_identity": lambda s, d: cell_buildings(s, d).select("feature_id", "occupancy", F.lit("building").alias("feature_type")),
+    "type_distribution": lambda s, d: M.type_distribution(features(s, d)),
+    "cell_entropy": lambda s, d: M.cell_metrics(features(s, d)).select("h3_8", *_r("entropy_score")),
+    "cell_variance_bucket": lambda s, d: M.cell_metrics(features(s, d)).select("h3_8", *_r("cell_variance"), "entropy_bucket"),
+    "cell_density": lambda s, d: M.cell_density(features(s, d)),
+    "importance_bytes": lambda s, d: M.with_importance(features(s, d)).select("feature_id", "neighbours", F.col("importance_byte").cast("int").alias("importance_byte")),
+    "cell_metrics_join": lambda s, d: scored(s, d).select("feature_id", "entropy_bucket", *_r("entropy_score", "cell_variance")),
+    "adaptive_resolution": lambda s, d: M.cell_metrics(features(s, d), "h3_7").select("h3_7", scoring.adaptive_resolution(F.col("entropy_score"), F.col("cell_variance")).alias("resolution")),
+    "hysteresis": _hysteresis,
+    "partition_run_id": lambda s, d: scored(s, d).select("feature_id", "partition_run_id"),
+    "zorder_key": lambda s, d: features(s, d).select("feature_id", scoring.zorder_key(geo.cell_to_long(F.col("h3_10")), F.col("feature_id")).alias("zorder_key")),
+    "bbox_zoom9": _bbox(9),
+    "bbox_zoom12": _bbox(12),
+    "bbox_zoom15": _bbox(15),
+    "h3_cell_query": lambda s, d: V.query_h3(scored(s, d), geo.cells_in_box(36.8219, -1.2921, 36.8219, -1.2921, 7)[0], 7).select("feature_id", F.col("importance_byte").cast("int").alias("importance_byte")),
+    "buildings_bbox": lambda s, d: V.query_buildings(buildings(s, d), KENYA, BOX, 15).select("id", "occupancy", V.bbox_area_m2().alias("bbox_area_m2")),
+    "buildings_occupancy": lambda s, d: V.query_buildings(buildings(s, d), KENYA, BOX, 15, occupancy="RES").select("id", "occupancy"),
+    "buildings_cells": lambda s, d: V.query_buildings(cell_buildings(s, d), KENYA_ENRICHED, (36.80, -1.30, 36.83, -1.27), 15).select("feature_id", "area_m2"),
+    "building_stats": lambda s, d: V.building_stats(buildings(s, d), KENYA, BOX, 15),
+    "building_stats_cells": lambda s, d: V.building_stats(cell_buildings(s, d), KENYA_ENRICHED, (36.80, -1.30, 36.83, -1.27), 15),
+    "height_parse": lambda s, d: buildings(s, d).select("id", scoring.height_m(F.col("height")).alias("height_m"), F.round(scoring.height_floors(F.col("height")), 6).alias("height_floors")),
+    "height_parse_raw_path": lambda s, d: buildings(s, d).select("id", scoring.height_m_raw_path(F.col("height")).alias("height_m")),
+    "geojson_buildings": _encode,
+    "tile_manifest": lambda s, d: _stats(s, d).select("tile_z", "tile_x", "tile_y", "feature_count", "size_bytes", F.round("entropy", 4).alias("entropy"), "fetch_priority", "tile_path"),
+    "manifest_totals": lambda s, d: _stats(s, d).agg(F.count(F.lit(1)).alias("tile_count"), F.sum("feature_count").alias("total_features")),
+    "distinct_tiles": lambda s, d: features(s, d).select(*lake.TILE).distinct(),
+    "top10_tiles": lambda s, d: _stats(s, d).orderBy(F.desc("feature_count"), *lake.TILE).limit(10).select("tile_x", "tile_y", "feature_count"),
+    "towns_bbox": lambda s, _: _towns_boxes(s).select("key", *_r("sw_lng", "sw_lat", "ne_lng", "ne_lat")),
+    "towns_buildings_link": lambda s, _: R.towns_df(s).join(F.broadcast(R.building_datasets_df(s)), F.col("dataset_key") == F.col("osm_dataset_key"), "left").select("key", "building_key", "zoom_gate"),
+    "town_viewport_counts": lambda s, d: V.in_viewports(features(s, d), _towns_boxes(s)).groupBy("key").agg(F.count(F.lit(1)).alias("n")),
+    "zoom_describe": _zooms,
+    "haversine_nearest": _nearest,
+    "bbox_area": lambda s, _: _towns_boxes(s).select("key", F.round(geo.bbox_area_km2(F.col("sw_lng"), F.col("sw_lat"), F.col("ne_lng"), F.col("ne_lat")), 6).alias("area_km2")),
+    "features_and_buildings": lambda s, d: lake.locked(features(s, d)).unionByName(lake.locked(cell_buildings(s, d).withColumn("feature_type", F.lit("building")))).groupBy("feature_type").agg(F.count(F.lit(1)).alias("n")),
+    "lake_roundtrip": _roundtrip,
+}
+QUERIES = {k: (lambda s, d, f=f: f(ship(s), d)) for k, f in _RUN.items()}
+
+_FEATURES = """
+    tagged AS (SELECT 'node/' || o_orderkey AS feature_id, o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'kenya' ELSE 'canary-islands' END AS country,
+        ((o_orderkey * 7919) % 30011) / 1e5 + 36.65e0 AS lng, ((o_orderkey * 104729) % 30011) / 1e5 - 1.45e0 AS lat,
+        CASE WHEN o_orderpriority[1] = '1' THEN (['motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'track'])[o_custkey % 6 + 1] END AS highway,
+        CASE WHEN o_orderpriority[1] = '2' THEN (['residential', 'commercial', 'Mall', ''])[o_custkey % 4 + 1] END AS building,
+        CASE WHEN o_orderpriority[1] = '3' THEN (['hospital', 'university', 'cafe'])[o_custkey % 3 + 1] END AS amenity,
+        CASE WHEN o_orderpriority[1] = '4' THEN 'forest' END AS landuse, CASE WHEN o_custkey % 7 = 0 THEN CAST(o_custkey * 3 AS INTEGER) END AS population FROM orders),
+    features AS (SELECT *, CASE WHEN highway IS NOT NULL THEN 'road' WHEN building IS NOT NULL THEN 'building' WHEN amenity IS NOT NULL THEN 'amenity' WHEN landuse IS NOT NULL THEN 'landuse' ELSE 'unknown' END AS feature_type,
+        CASE highway WHEN 'motorway' THEN 1 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 3 WHEN 'secondary' THEN 4 WHEN 'tertiary' THEN 5 ELSE 6 END AS road_class, {cells} FROM tagged),
+    types AS (SELECT h3_8, feature_type, count(*) AS n FROM features GROUP BY 1, 2),
+    shares AS (SELECT h3_8, n * 1e0 / sum(n) OVER (PARTITION BY h3_8) AS p FROM types),
+    metrics AS (SELECT h3_8, sum(-p * log2(p)) AS raw, round(0e0 - sum(p * log2(p)) + 0e0, 6) AS entropy_score, round(var_pop(p), 6) AS cell_variance FROM shares GROUP BY 1),
+    bucketed AS (SELECT h3_8, CASE WHEN abs(raw) < 1e-9 THEN 0e0 ELSE entropy_score END AS entropy_score, cell_variance, CAST(least(floor(least(raw / log2(10), 1e0) * 10), 9) AS INTEGER) AS entropy_bucket FROM metrics),
+    density AS (SELECT h3_9, count(*) AS n FROM features GROUP BY 1),
+    weighted AS (SELECT f.*, greatest(0, d.n - 1) AS neighbours, lower(coalesce(nullif(building, ''), nullif(amenity, ''), '')) AS tag FROM features f JOIN density d USING (h3_9)),
+    scored AS (SELECT *, CAST(round_even((0.4e0 * least(1e0, log10(2e0) / 2) + 0.5e0 * CASE tag WHEN 'hospital' THEN 0.9e0 WHEN 'university' THEN 0.9e0 WHEN 'mall' THEN 0.6e0 WHEN 'commercial' THEN 0.6e0 WHEN 'residential' THEN 0.3e0 ELSE 0.1e0 END
+        + 0.1e0 / (1 + neighbours) + 0.2e0 * exp(-10e0)) * 127, 0) AS INTEGER) AS importance_byte FROM weighted JOIN bucketed USING (h3_8))
+"""
+
+
+def _cells_sql() -> str:
+    x = lambda z: f"CAST(floor((lng + 180e0) / 360e0 * {1 << z}) AS INTEGER)"
+    y = lambda z: f"CAST(floor((1e0 - ln(tan(radians(lat)) + 1e0 / cos(radians(lat))) / {math.pi!r}e0) / 2e0 * {1 << z}) AS INTEGER)"
+    out = [f"10 AS tile_z, {x(10)} AS tile_x, {y(10)} AS tile_y, {x(12)} AS tile12_x, {y(12)} AS tile12_y"]
+    return ", ".join(out + [f"printf('%02x%08x%08x', {z}, {x(z)}, {y(z)}) AS h3_{r}" for r, z in geo.MERCATOR_ZOOM.items()])
+
+
+_F = "WITH" + _FEATURES.replace("{cells}", _cells_sql())
+_B = """WITH buildings AS (SELECT p_partkey AS id, p_size, CASE p_type WHEN 'ECONOMY' THEN 'RES' WHEN 'STANDARD' THEN 'RES' WHEN 'LARGE' THEN 'COM' WHEN 'MEDIUM' THEN 'IND' WHEN 'PROMO' THEN 'CIV' WHEN 'SMALL' THEN 'UNK' END AS occupancy,
+        (['1223', '1232', '1233', '1202'])[p_partkey % 4 + 1] || p_partkey AS quadkey,
+        CASE p_partkey % 5 WHEN 0 THEN 'H:' || p_size WHEN 1 THEN 'HBET:' || p_size || '-' || (p_size + 2) WHEN 2 THEN 'HHT:' || p_size || '.5' WHEN 3 THEN CAST(p_size AS VARCHAR) END AS height,
+        ((p_partkey * 7919) % 30011) / 1e5 + 36.65e0 - p_size * 1e-5 AS xmin, ((p_partkey * 7919) % 30011) / 1e5 + 36.65e0 + p_size * 1e-5 AS xmax,
+        ((p_partkey * 104729) % 30011) / 1e5 - 1.45e0 - p_size * 1e-5 AS ymin, ((p_partkey * 104729) % 30011) / 1e5 - 1.45e0 + p_size * 1e-5 AS ymax FROM part),
+    shaped AS (SELECT *, (xmin + xmax) / 2 AS lng, (ymin + ymax) / 2 AS lat, round(abs(xmax - xmin) * 111320e0 * cos(radians((ymin + ymax) / 2)) * abs(ymax - ymin) * 110574e0, 1) AS area,
+        CASE WHEN height LIKE 'H:%' THEN CAST(substr(height, 3) AS DOUBLE) * 3.5e0 WHEN height LIKE 'HBET:%' THEN (p_size + 1) * 3.5e0 WHEN height LIKE 'HHT:%' THEN CAST(substr(height, 5) AS DOUBLE) ELSE CAST(height AS DOUBLE) END AS height_m,
+        CASE WHEN height LIKE 'H:%' THEN p_size * 1e0 WHEN height LIKE 'HBET:%' THEN p_size + 1e0 WHEN height LIKE 'HHT:%' THEN (p_size + 0.5e0) / 3.5e0 ELSE CAST(height AS DOUBLE) / 3.5e0 END AS height_floors FROM buildings)"""
+_IN = "xmin <= 36.90e0 AND xmax >= 36.70e0 AND ymin <= -1.20e0 AND ymax >= -1.40e0 AND (quadkey LIKE '1223%' OR quadkey LIKE '1232%' OR quadkey LIKE '1233%')"
+_IN9 = "lng BETWEEN 36.80e0 AND 36.83e0 AND lat BETWEEN -1.30e0 AND -1.27e0"
+_COUNTS = "count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE occupancy = '{o}') AS {o.lower()}" for o in ("RES", "COM", "IND", "CIV", "UNK")) + ", count({h}) AS with_height"
+_STATS = """, tiles AS (SELECT 12 AS tile_z, tile12_x AS tile_x, tile12_y AS tile_y, count(*) AS feature_count, CAST(sum(length(feature_id) * 100) AS BIGINT) AS size_bytes, avg(entropy_score) AS entropy FROM scored GROUP BY 1, 2, 3)"""
+_T = "WITH towns(key, lat, lng, lat_extent, lng_extent, dataset_key) AS (VALUES " + ", ".join(f"('{k}', {t.lat!r}e0, {t.lng!r}e0, {t.lat_extent!r}e0, {t.lng_extent!r}e0, {'NULL' if t.dataset_key is None else repr(t.dataset_key)})" for k, t in R.TOWNS.items()) + ")"
+_BOXES = "boxes AS (SELECT key, lng - lng_extent AS sw_lng, lat - lat_extent AS sw_lat, lng + lng_extent AS ne_lng, lat + lat_extent AS ne_lat FROM towns)"
+
+
+def _bbox_sql(least: int, limit: int) -> str:
+    return f"{_F} SELECT feature_id, entropy_bucket, importance_byte FROM scored WHERE lng BETWEEN 36.70e0 AND 36.90e0 AND lat BETWEEN -1.40e0 AND -1.20e0 AND importance_byte >= {least} ORDER BY entropy_bucket, importance_byte DESC, feature_id LIMIT {limit}"
+
+
+_EVEN = _F + """, types2 AS (SELECT h3_8, feature_type, count(*) AS n FROM features WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), shares2 AS (SELECT h3_8, n * 1e0 / sum(n) OVER (PARTITION BY h3_8) AS p FROM types2),
+    old AS (SELECT h3_8, sum(-p * log2(p)) AS raw, CAST(least(floor(least(sum(-p * log2(p)) / log2(10), 1e0) * 10), 9) AS INTEGER) AS bucket FROM shares2 GROUP BY 1)"""
+_SEVEN = _F + """, types7 AS (SELECT h3_7, feature_type, count(*) AS n FROM features GROUP BY 1, 2), shares7 AS (SELECT h3_7, n * 1e0 / sum(n) OVER (PARTITION BY h3_7) AS p FROM types7),
+    metrics7 AS (SELECT h3_7, round(sum(-p * log2(p)), 6) AS e, round(var_pop(p), 6) AS v FROM shares7 GROUP BY 1)"""
+_CELL7 = geo.cells_in_box(36.8219, -1.2921, 36.8219, -1.2921, 7)[0]
+
+ORACLES = {
+    "feature_type_case": f"{_F} SELECT feature_id, feature_type FROM features",
+    "road_class_case": f"{_F} SELECT feature_id, road_class FROM features",
+    "tag_map_extract": f"{_F} SELECT feature_id, highway, building, amenity, landuse, population FROM features",
+    "quadtree_tile": f"{_F} SELECT feature_id, tile_z, tile_x, tile_y FROM features",
+    "cell_ids": f"{_F} SELECT feature_id, h3_7, h3_8, h3_9, h3_10 FROM features",
+    "source_filter": f"{_F} SELECT feature_id, country FROM tagged WHERE country = 'kenya'",
+    "quadkey_prefix_filter": f"{_B} SELECT id, quadkey FROM buildings WHERE quadkey LIKE '1223%' OR quadkey LIKE '1232%' OR quadkey LIKE '1233%'",
+    "quadkey_caller_prefix": f"{_B} SELECT id, quadkey FROM buildings WHERE quadkey LIKE '12021%'",
+    "building_identity": f"{_B} SELECT 'building/' || id AS feature_id, occupancy, 'building' AS feature_type FROM buildings",
+    "type_distribution": f"{_F} SELECT h3_8, feature_type, n FROM types",
+    "cell_entropy": f"{_F} SELECT h3_8, entropy_score FROM bucketed",
+    "cell_variance_bucket": f"{_F} SELECT h3_8, cell_variance, entropy_bucket FROM bucketed",
+    "cell_density": f"{_F} SELECT h3_9, n FROM density",
+    "importance_bytes": f"{_F} SELECT feature_id, neighbours, importance_byte FROM scored",
+    "cell_metrics_join": f"{_F} SELECT feature_id, entropy_bucket, entropy_score, cell_variance FROM scored",
+    "adaptive_resolution": f"{_SEVEN} SELECT h3_7, CASE WHEN e > 2 OR v > 0.25 THEN 10 WHEN e > 1 THEN 9 ELSE 7 END AS resolution FROM metrics7",
+    "hysteresis": f"{_EVEN} SELECT n.h3_8, CASE WHEN abs(n.entropy_score - round(o.raw, 6)) < 0.2e0 THEN o.bucket ELSE n.entropy_bucket END AS bucket FROM bucketed n LEFT JOIN old o USING (h3_8)",
+    "partition_run_id": f"{_F} SELECT feature_id, substr(sha256(h3_8 || ':{MINUTE}'), 1, 16) AS partition_run_id FROM features",
+    "bbox_zoom9": _bbox_sql(80, 500),
+    "bbox_zoom12": _bbox_sql(40, 2000),
+    "bbox_zoom15": _bbox_sql(0, 5000),
+    "h3_cell_query": f"{_F} SELECT feature_id, importance_byte FROM scored WHERE h3_7 = '{_CELL7}' ORDER BY importance_byte DESC, feature_id LIMIT 5000",
+    "buildings_bbox": f"{_B} SELECT id, occupancy, area AS bbox_area_m2 FROM shaped WHERE {_IN} ORDER BY (xmax - xmin) * (ymax - ymin) DESC, id LIMIT 1000",
+    "buildings_occupancy": f"{_B} SELECT id, occupancy FROM shaped WHERE {_IN} AND occupancy = 'RES' ORDER BY (xmax - xmin) * (ymax - ymin) DESC, id LIMIT 1000",
+    "buildings_cells": f"{_B} SELECT 'building/' || id AS feature_id, area AS area_m2 FROM shaped WHERE {_IN9} ORDER BY area DESC, feature_id LIMIT 1000",
+    "building_stats": f"{_B} SELECT {_COUNTS.format(h='height')} FROM shaped WHERE {_IN}",
+    "building_stats_cells": f"{_B} SELECT {_COUNTS.format(h='height_m')} FROM shaped WHERE {_IN9}",
+    "height_parse": f"{_B} SELECT id, height_m, round(height_floors, 6) AS height_floors FROM shaped",
+    "height_parse_raw_path": f"{_B} SELECT id, CASE WHEN height LIKE 'HBET:%' THEN (p_size + 1) * 3e0 WHEN height LIKE 'H%' THEN NULL ELSE CAST(height AS DOUBLE) END AS height_m FROM shaped",
+    "geojson_buildings": f"{_B} SELECT 'Feature' AS type, 'Point' AS geometry_type, id, CASE WHEN height LIKE 'HBET:%' THEN (p_size + 1) * 3e0 WHEN height LIKE 'H%' THEN NULL ELSE CAST(height AS DOUBLE) END AS height_m, area AS bbox_area_m2 FROM shaped",
+    "tile_manifest": f"{_F}{_STATS} SELECT tile_z, tile_x, tile_y, feature_count, size_bytes, round(entropy, 4) AS entropy, CASE WHEN entropy > 1.5 AND size_bytes > 50000 THEN 'immediate' WHEN size_bytes < 5000 THEN 'defer' ELSE 'background' END AS fetch_priority, printf('z%d/%d/%d.parquet', tile_z, tile_x, tile_y) AS tile_path FROM tiles",
+    "manifest_totals": f"{_F}{_STATS} SELECT count(*) AS tile_count, CAST(sum(feature_count) AS BIGINT) AS total_features FROM tiles",
+    "distinct_tiles": f"{_F} SELECT DISTINCT tile_z, tile_x, tile_y FROM features",
+    "top10_tiles": f"{_F}{_STATS} SELECT tile_x, tile_y, feature_count FROM tiles ORDER BY feature_count DESC, tile_x, tile_y LIMIT 10",
+    "towns_bbox": f"{_T}, {_BOXES} SELECT key, round(sw_lng, 6) AS sw_lng, round(sw_lat, 6) AS sw_lat, round(ne_lng, 6) AS ne_lng, round(ne_lat, 6) AS ne_lat FROM boxes",
+    "towns_buildings_link": f"{_T} SELECT key, CASE dataset_key WHEN 'kenya' THEN 'kenya-buildings' WHEN 'canary' THEN 'canary-buildings' END AS building_key, CASE WHEN dataset_key IS NOT NULL THEN 14 END AS zoom_gate FROM towns",
+    "town_viewport_counts": f"{_F}, {_T[5:]}, {_BOXES} SELECT key, count(*) AS n FROM features f JOIN boxes b ON f.lng BETWEEN sw_lng AND ne_lng AND f.lat BETWEEN sw_lat AND ne_lat GROUP BY key",
+    "zoom_describe": "SELECT CAST(z AS INTEGER) AS zoom, CASE WHEN z <= 6 THEN 'continental' WHEN z <= 9 THEN 'metro' WHEN z <= 12 THEN 'city' WHEN z <= 15 THEN 'neighborhood' ELSE 'street' END AS semantic_level, CASE WHEN z <= 10 THEN 7 WHEN z <= 12 THEN 8 WHEN z <= 14 THEN 9 ELSE 10 END AS h3_resolution, CASE WHEN z <= 9 THEN 500 WHEN z <= 12 THEN 2000 ELSE 5000 END AS feature_limit, CASE WHEN z <= 9 THEN 80 WHEN z <= 12 THEN 40 ELSE 0 END AS importance_threshold FROM range(21) t(z)",
+    "haversine_nearest": f"{_F}, a AS (SELECT feature_id, sin(radians(-1.2921e0 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(-1.2921e0)) * sin(radians(36.8219e0 - lng) / 2) ** 2 AS a FROM features) SELECT feature_id, round(2 * 6371000e0 * atan2(sqrt(a), sqrt(1 - a)), 3) AS meters FROM a ORDER BY meters, feature_id LIMIT 20",
+    "bbox_area": f"{_T}, {_BOXES} SELECT key, round((ne_lng - sw_lng) * 111320e0 * cos(radians((sw_lat + ne_lat) / 2)) * (ne_lat - sw_lat) * 110574e0 / 1e6, 6) AS area_km2 FROM boxes",
+    "features_and_buildings": f"{_F} SELECT feature_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT feature_type, count(*) AS n FROM features GROUP BY 1 UNION ALL SELECT 'building', count(*) FROM part) GROUP BY 1",
+    "lake_roundtrip": f"{_F} SELECT tile_z, tile_x, tile_y, count(*) AS n, CAST(sum(importance_byte) AS BIGINT) AS importance FROM scored GROUP BY 1, 2, 3",
+}
