@@ -3,8 +3,8 @@
 Two permutations of the hashed shingles make all signature coordinates: the first scatters the shingles, the second is
 applied after a circular shift by k for coordinate k. Documents with one and the same shingle set are one node. In each
 band bucket every node is first checked against the smallest one (a star, so a bucket of n gives n - 1 pairs); buckets
-that still hold several components then have their crossing pairs checked in blocks, so no link between buckets' members
-is lost. All checks use the whole sets.
+that still hold several components then have their crossing pairs checked where they lie, in blocks, so no link between a
+bucket's members is lost. All checks use the whole sets.
 
 Defined results: texts without words have no shingle, link with nothing and are kept; texts of fewer than five words are
 one shingle; null is empty; rows that repeat a doc_id are one node that links through any of its texts; a null doc_id
@@ -134,38 +134,81 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, salt_rows: int =
     return rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind").mapInArrow(_check(percent), "a long, b long")
 
 
-def _cross(ratio: int):
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Exact sizes of all intersections between two lists of sets, by products of 0/1 matrices over shared members."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    ha, hb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(ha, hb)
+    ra, rb = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
+    ca, cb = np.searchsorted(both, ha), np.searchsorted(both, hb)
+    la, lb = np.isin(ha, both), np.isin(hb, both)
+    ra, ca, rb, cb = ra[la], ca[la], rb[lb], cb[lb]
+    for c in range(0, len(both), width):
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        sa, sb = (ca >= c) & (ca < c + width), (cb >= c) & (cb < c + width)
+        x[ra[sa], ca[sa] - c] = 1
+        y[rb[sb], cb[sb] - c] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _cross(percent: int):
+    def links(i: int, j: int, own: list, ids: list, comp: list, sets: list) -> list[tuple[int, int]]:
+        first = [k for k in range(len(own)) if own[k] == i]
+        second = first if i == j else [k for k in range(len(own)) if own[k] == j]
+        if not first or not second:
+            return []
+        label = np.array(comp)
+        la, lb = label[first], label[second]
+        if la.min() == la.max() == lb.min() == lb.max():
+            return []
+        m = common_counts([sets[k] for k in first], [sets[k] for k in second])
+        na, nb = np.array([len(sets[k]) for k in first]), np.array([len(sets[k]) for k in second])
+        near = (100 * m >= percent * (na[:, None] + nb[None, :] - m)) & (la[:, None] != lb[None, :])
+        out = []
+        for x, y in zip(*np.nonzero(near), strict=True):
+            p, q = first[x], second[y]
+            if label[p] != label[q]:  # a link within what is joined already says nothing new
+                out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+                label[label == label[q]] = label[p]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by (key, i, j); the first block of a pair waits while the second streams by."""
-        import itertools
-
-        rows = itertools.chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
-        for (_, _, i, j), group in itertools.groupby(rows, key=lambda r: r[:4]):
-            x = list(group)  # two blocks at most
-            own = np.array([r[4] for r in x])
-            ids, comp, n = (np.array([r[k] for r in x], np.int64) for k in (5, 6, 7))
-            for at in range(len(x)):
-                if own[at] != i:
-                    continue
-                ok = (comp != comp[at]) & (np.minimum(n, n[at]) * 100 >= ratio * np.maximum(n, n[at]))
-                ok &= (ids > ids[at]) if i == j else (own == j)
-                other = ids[ok]
-                if len(other):
-                    me = np.full(len(other), ids[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(me, other)), pa.array(np.maximum(me, other))], names=["a", "b"])
+        """Rows come by (band, key, i, j): two blocks at most are held."""
+        now, held = None, ([], [], [], [])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if now is not None and (found := links(now[2], now[3], *held)):
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for whole in batches:
+            for batch in slices(whole):
+                rows = zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "own", "id", "comp")), strict=True)
+                for (band, key, i, j, own, id_, comp), s in zip(rows, shingle_sets(batch.column("text")), strict=True):
+                    if (band, key, i, j) != now:
+                        yield from close()
+                        now, held = (band, key, i, j), ([], [], [], [])
+                    for to, v in zip(held, (own, id_, comp, s), strict=True):
+                        to.append(v)
+        yield from close()
 
     return run
 
 
-def crossing_pairs(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs of different components within a bucket; members (band, key, id, comp, n). A large bucket is cut into pairs of blocks."""
-    sizes = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+def crossing_links(members: DataFrame, texts: DataFrame, percent: int, block: int = 512, block_shingles: int = 400_000, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Links (a, b) between different components of one bucket; members (band, key, id, comp, n).
+
+    A large bucket is cut into blocks, one task group for each pair of blocks. Pairs are checked where they are; what comes
+    out are links that join components, never pairs.
+    """
+    sizes = members.groupBy("band", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     open_ = sizes.filter("c0 != c1").select("band", "key", "blocks")
     x = bounded_join(members, open_, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n")
-    x = x.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return x.mapInArrow(_cross(percent), "a long, b long").distinct()
+    x = stash(x.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp"), "minhash-open")
+    rows = bounded_join(texts.withColumnRenamed("doc_id", "id"), x, ["id"], "inner", bound).select("band", "key", "i", "j", "own", "id", "comp", "text")
+    rows = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    return rows.mapInArrow(_cross(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80) -> DataFrame:
@@ -181,10 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stash(verified(star, texts, percent), "minhash-links")
     first = stash(connected_components(links), "minhash-first")
     labelled = bounded_join(members, first.withColumnRenamed("node", "id"), ["id"], "left").select("band", "key", "id", F.coalesce("component", "id").alias("comp"), "n")
-    rest = stash(crossing_pairs(labelled, percent), "minhash-rest").join(star, ["a", "b"], "left_anti")
-    rest = stash(rest, "minhash-crossing")
-    if rest.limit(1).count():
-        links = links.union(stash(verified(rest, texts, percent), "minhash-more"))
+    links = links.union(stash(crossing_links(labelled, texts, percent), "minhash-crossing"))
     # a repeated doc_id joins what its texts belong to
     ids = some.join(nodes.select("f1", "f2", "n", "id"), ["f1", "f2", "n"]).select("doc_id", "id")
     twins = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")

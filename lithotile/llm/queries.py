@@ -81,8 +81,8 @@ ORACLES = {
     "op4_embedding_dedup": f"""
         WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
         good AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-                 WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-                 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+                 WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.v) = len(y.v)
                   WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
         {_COMPONENTS}
@@ -91,7 +91,7 @@ ORACLES = {
     """,
     "op8_minhash": rf"""
         WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        shingles AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+        shingles AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
         nodes AS (SELECT doc_id AS id, len(s) AS n FROM shingles),
         each AS (SELECT doc_id, unnest(s) AS g FROM shingles),
