@@ -5,7 +5,7 @@ order keeps the join exact; the sketch only makes it selective). Two lines of Ja
 n - ceil(t n) + 1 words; length, positional and bitmap filters, all of them safe, thin the candidates of each word's list,
 and whole sets decide. A line goes if a line before it, in order of doc_id and line number, matches it.
 
-Equal lines are combined in each map task, so a very common line sends one entry per task. In a word's list each line looks
+Equal lines are combined in each map task, so a very common line sends one entry per task, and again in each word's list. In a word's list each line looks
 at its `cap` nearest candidates first; lines that have more and found no match then look at all of them.
 
 Defined results: null text has no line; lines without words stay; rows that repeat a doc_id are one document, whose lines of
@@ -26,7 +26,7 @@ from .common import BROADCAST_ROWS, bounded_join, hash_words, joined, mix64, sli
 BUCKETS = 1 << 20
 PARTS = 16
 PERCENT = 80
-REC = np.dtype([("key", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("bits", "<u8")])
+REC = np.dtype([("key", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("bits", "<u8"), ("sum", "<u8")])
 _FIELDS = REC.names
 
 
@@ -115,7 +115,7 @@ def _entries(rank: np.ndarray, parts: int, percent: int):
                 pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 w = np.repeat(which, p)
                 rec = np.empty(len(w), REC)
-                for f, v in zip(_FIELDS, (h[starts[w] + pos], d[w], ln[w], n[w], pos, bits[w]), strict=True):
+                for f, v in zip(_FIELDS, (h[starts[w] + pos], d[w], ln[w], n[w], pos, bits[w], s1[w]), strict=True):
                     rec[f] = v
                 to = (rec["key"] % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -143,6 +143,10 @@ def _match(percent: int, cap: int | None):
             at += size
         return rec
 
+    def lone(doc: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(doc), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.array(doc), pa.array(line), pa.array(np.zeros(len(doc), bool))], names=["a_doc", "a_line", "b_doc", "b_line", "more"])
+
     def told(a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a["doc"]), pa.array(a["line"].astype(np.int32)), pa.array(b["doc"]), pa.array(b["line"].astype(np.int32)), pa.array(more)], names=["a_doc", "a_line", "b_doc", "b_line", "more"])
 
@@ -154,12 +158,19 @@ def _match(percent: int, cap: int | None):
                     held.append(unpack(blob))
                 elif cap is not None:  # an equal line lies before it
                     gone = np.frombuffer(blob, "<i8").reshape(-1, 2)
-                    none = pa.nulls(len(gone), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), pa.array(gone[:, 0]), pa.array(gone[:, 1].astype(np.int32)), pa.array(np.zeros(len(gone), bool))], names=["a_doc", "a_line", "b_doc", "b_line", "more"])
+                    yield lone(gone[:, 0], gone[:, 1].astype(np.int32))
         if not held:
             return
         x = np.concatenate(held)
         held.clear()
+        x = x[np.lexsort((x["line"], x["doc"], x["sum"], x["n"], x["key"]))]
+        again = np.zeros(len(x), bool)  # lines equal to an earlier one of the list; each is told where its first word is
+        again[1:] = (x["key"][1:] == x["key"][:-1]) & (x["sum"][1:] == x["sum"][:-1]) & (x["n"][1:] == x["n"][:-1])
+        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(x))))
+        equal = again & (x["pos"] == 0) & ((x["doc"] != x["doc"][head]) | (x["line"] != x["line"][head]))
+        if cap is not None and equal.any():
+            yield lone(x["doc"][equal], x["line"][equal].astype(np.int32))
+        x = x[~again]
         x = x[np.lexsort((x["line"], x["doc"], x["key"]))]
         new = np.ones(len(x), bool)
         new[1:] = x["key"][1:] != x["key"][:-1]
