@@ -245,7 +245,7 @@ def shape_udf(epsg: int | None = None):  # noqa: ANN201
     return shape
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def wkb_to_geojson(wkb: pd.Series) -> pd.Series:
     from lithotile.functions import wkb as own
 
@@ -258,7 +258,7 @@ def wkb_to_geojson(wkb: pd.Series) -> pd.Series:
     return wkb.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def geojson_wkt(text: pd.Series) -> pd.Series:
     from lithotile.functions import wkb as own
 
@@ -266,7 +266,7 @@ def geojson_wkt(text: pd.Series) -> pd.Series:
 
 
 def meets_box_udf(box: tuple[float, float, float, float]):  # noqa: ANN201
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def meets(wkb: pd.Series) -> pd.Series:
         from lithotile.functions import wkb as own
 

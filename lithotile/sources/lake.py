@@ -18,7 +18,8 @@ _SHARED = (
 )
 _OSM = "highway string, building string, amenity string, landuse string, population int, road_class tinyint"
 _BUILDING = "floorspace string, occupancy string, height_raw string, height_m double, height_floors double, quadkey string, relation_id string, source_provider string, area_m2 double, perimeter_m double"
-LOCKED: T.StructType = T.StructType.fromDDL(f"{_SHARED}, {_OSM}, {_BUILDING}")
+_TYPES = {"string": T.StringType(), "binary": T.BinaryType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "tinyint": T.ByteType()}
+LOCKED = T.StructType([T.StructField(c.split()[0], _TYPES[c.split()[1]]) for c in f"{_SHARED}, {_OSM}, {_BUILDING}".split(", ")])
 SHARED_COLUMNS = [c.split()[0] for c in _SHARED.split(", ")]
 OSM_COLUMNS = SHARED_COLUMNS + [c.split()[0] for c in _OSM.split(", ")]
 BUILDING_COLUMNS = SHARED_COLUMNS + [c.split()[0] for c in _BUILDING.split(", ")]
