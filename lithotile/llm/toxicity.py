@@ -38,7 +38,7 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(b"w" + w.encode()) % DIMENSIONS, *(zlib.crc32(b"p" + w[:k].encode()) % DIMENSIONS for k in PREFIXES if len(w) > k)]
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 150, rate: float = 0.15, l2: float = 2e-5, min_docs: int = 3, prior: float | None = None) -> tuple[np.ndarray, float]:
+def train(texts: list[str], toxic: list[int], rounds: int = 400, rate: float = 0.15, l2: float = 1e-4, min_docs: int = 3, prior: float | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the noisy-or likelihood of the documents' labels."""
     weights = np.zeros(DIMENSIONS, np.float32)
     y = np.array(toxic, bool)
