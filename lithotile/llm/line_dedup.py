@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, bounded_join, hash_words, joined, mix64, slices, stash
 
 BUCKETS = 1 << 20
-PARTS = 16
 PERCENT = 80
 REC = np.dtype([("key", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("bits", "<u8"), ("sum", "<u8")])
 _FIELDS = REC.names
@@ -61,26 +60,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole):
             hashes, line, _, _ = _lines(batch.column("text"))
             total += np.bincount(_bucket(_sets(hashes, line)[0]), minlength=BUCKETS)
-    if total.any():
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "counts": [x.astype("<i8").tobytes() for x in np.split(total, PARTS)]})
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<i8")
-    if sums:
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": [x.astype("<i8").tobytes() for x in sums.values()]})
+    some = np.flatnonzero(total)
+    for a in range(0, len(some), 1 << 16):
+        at = some[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "lines"])
 
 
 def word_counts(texts: DataFrame) -> np.ndarray:
-    """Lines that hold a word of each of BUCKETS hash buckets, over all documents; 8 MB whatever the corpus."""
-    schema = "part int, counts binary"
-    rows = texts.mapInArrow(_count, schema).repartition(PARTS, "part").mapInArrow(_add, schema).collect()
+    """Lines that hold a word of each of BUCKETS hash buckets, over all documents; BUCKETS rows at most whatever the corpus."""
+    rows = texts.mapInArrow(_count, "bucket int, lines long").groupBy("bucket").agg(F.sum("lines").alias("lines")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
-    for part, counts in rows:
-        out[part * (BUCKETS // PARTS) : (part + 1) * (BUCKETS // PARTS)] = np.frombuffer(counts, "<i8")
+    out[rows["bucket"].to_numpy()] = rows["lines"].to_numpy()
     return out
 
 
