@@ -6,7 +6,7 @@ n - ceil(t n) + 1 words; length, positional and bitmap filters, all of them safe
 and whole sets decide. A line goes if a line before it, in order of doc_id and line number, matches it.
 
 Equal lines are combined in each map task, so a very common line sends one entry per task, and again in each word's list. In a word's list each line looks
-at its `cap` nearest candidates first; lines that have more and found no match then look at all of them.
+at its `cap` nearest candidates first; lines that have more and found no match, and only those, then look at all of them.
 
 Defined results: null text has no line; lines without words stay; rows that repeat a doc_id are one document, whose lines of
 one number do not remove each other; a null doc_id is read, but loses no line; extra columns are kept by `drop_near_lines`.
@@ -27,6 +27,8 @@ BUCKETS = 1 << 20
 PERCENT = 80
 REC = np.dtype([("key", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("bits", "<u8"), ("sum", "<u8")])
 _FIELDS = REC.names
+#: Marks the entries of lines that look for a match where only some do.
+PROBE = 1 << 31
 
 
 def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,14 +100,19 @@ def _entries(rank: np.ndarray, parts: int, percent: int):
                     elif place != old:
                         rep[i] = False
                         gone.append(place)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts)
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), starts)  # a word not in common turns one bit
                 prefix = n - (-(-n * percent // 100)) + 1
                 which = np.flatnonzero(rep)
                 p = prefix[which]
                 pos = np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 w = np.repeat(which, p)
+                place = pos
+                if "lines" in batch.schema.names:
+                    asked = [set(v or ()) for v in batch.column("lines").to_pylist()]
+                    probe = np.array([k in asked[i] for i, k in zip(doc[of].tolist(), ln.tolist(), strict=True)], bool)
+                    place = pos | np.where(probe[w], PROBE, 0)
                 rec = np.empty(len(w), REC)
-                for f, v in zip(_FIELDS, (h[starts[w] + pos], d[w], ln[w], n[w], pos, bits[w], s1[w]), strict=True):
+                for f, v in zip(_FIELDS, (h[starts[w] + pos], d[w], ln[w], n[w], place, bits[w], s1[w]), strict=True):
                     rec[f] = v
                 to = (rec["key"] % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -153,20 +160,26 @@ def _match(percent: int, cap: int | None):
             return
         x = np.concatenate(held)
         held.clear()
-        x = x[np.lexsort((x["line"], x["doc"], x["sum"], x["n"], x["key"]))]
+        probe = (x["pos"] & PROBE) > 0
+        x["pos"] &= PROBE - 1
+        if cap is None:  # lists that no line asks about go at once
+            x, probe = x[k := np.isin(x["key"], x["key"][probe])], probe[k]
+        order = np.lexsort((x["line"], x["doc"], x["sum"], x["n"], x["key"]))
+        x, probe = x[order], probe[order]
         again = np.zeros(len(x), bool)  # lines equal to an earlier one of the list; each is told where its first word is
         again[1:] = (x["key"][1:] == x["key"][:-1]) & (x["sum"][1:] == x["sum"][:-1]) & (x["n"][1:] == x["n"][:-1])
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(x))))
         equal = again & (x["pos"] == 0) & ((x["doc"] != x["doc"][head]) | (x["line"] != x["line"][head]))
         if cap is not None and equal.any():
             yield lone(x["doc"][equal], x["line"][equal].astype(np.int32))
-        x = x[~again]
-        x = x[np.lexsort((x["line"], x["doc"], x["key"]))]
+        x, probe = x[~again], probe[~again]
+        order = np.lexsort((x["line"], x["doc"], x["key"]))
+        x, probe = x[order], probe[order]
         new = np.ones(len(x), bool)
         new[1:] = x["key"][1:] != x["key"][:-1]
         start = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
         n, pos, bits = x["n"].astype(np.int64), x["pos"].astype(np.int64), x["bits"]
-        found, live, d = np.zeros(len(x), np.int32), np.flatnonzero(~new), 1
+        found, live, d = np.zeros(len(x), np.int32), np.flatnonzero(~new & probe if cap is None else ~new), 1
         while len(live):
             other = live - d
             na, nb = n[other], n[live]
@@ -226,8 +239,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = int(counts.sum())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 * REC.itemsize / part_bytes))
 
-    def matched(limit: int | None) -> DataFrame:
-        rows = texts.mapInArrow(_entries(rank, parts, percent), "part int, kind string, blob binary")
+    def matched(limit: int | None, over: DataFrame = texts) -> DataFrame:
+        rows = over.mapInArrow(_entries(rank, parts, percent), "part int, kind string, blob binary")
         return rows.repartition(parts, "part").mapInArrow(_match(percent, limit), PAIR)
 
     found = stash(matched(cap), "line-candidates")
@@ -237,7 +250,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sure = stash(_verify(pairs, texts, percent, bound), "line-matches")
     left = stash(pairs.filter("more").select("b_doc", "b_line").distinct().join(sure, ["b_doc", "b_line"], "left_anti"), "lines-left")
     if left.limit(1).count():
-        rest = bounded_join(matched(None).drop("more").distinct(), left, ["b_doc", "b_line"], "left_semi", bound)
+        ask = left.groupBy("b_doc").agg(F.collect_list("b_line").alias("lines")).withColumnRenamed("b_doc", "doc_id")
+        rest = matched(None, bounded_join(texts, stash(ask, "lines-asking"), ["doc_id"], "left", bound)).drop("more").distinct()
         sure = sure.union(_verify(stash(rest, "line-rest"), texts, percent, bound))
     return gone.union(sure).distinct().select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"))
 
