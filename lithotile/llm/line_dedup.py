@@ -257,9 +257,10 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_lines(text: Column, gone: Column) -> Column:
-    lines = F.split(text, "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    """The text without the lines of these numbers; the lines are bound once, as a lambda's variable."""
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    cut = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
+    return F.when(gone.isNull(), text).otherwise(F.get(cut, F.lit(0)))
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
@@ -273,7 +274,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     x = _joined(docs, id_col, text_col, **options)
     text = F.col("row")[text_col]
     return x.select(
-        F.col("_id").alias("doc_id"), F.coalesce(F.when(text.isNotNull(), F.size(F.split(text, "\n", -1))), F.lit(0)).cast("long").alias("n_lines"),
+        F.col("_id").alias("doc_id"), F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         F.array_sort(F.coalesce("gone", F.array().cast("array<int>"))).alias("removed"), without_lines(text, F.col("gone")).alias("text"),
     )
