@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_join, slices
+from .common import bounded_join, slices, stash
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 DIMENSIONS = 1 << 20
@@ -158,4 +158,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that score one half or more."""
     bad = toxicity(docs, labels, id_col, text_col, **options).filter("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct()
-    return bounded_join(docs, bad, [id_col], "left_anti")
+    return bounded_join(docs, stash(bad, "toxic-ids"), [id_col], "left_anti")  # scored once
