@@ -6,7 +6,8 @@ linked, in the list of their first shared pivot only, so each link counts once.
 of blocks. Lists give sums and spanning edges, never pairs. Equal vectors are one node with a multiplicity.
 
 The index is approximate: pivots come from a bounded sample, every row is indexed, and recall against brute force is
-measured in the tests. Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
+measured in the tests. Pivots are chosen farthest first and keep twice the angle of a link apart, so a group of near copies
+holds few of them and its vectors agree on the order of the others. Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
 without a label, link with nothing; vectors of different lengths do not link; rows that repeat a vec_id count as vectors of
 their own; extra columns are ignored.
 """
@@ -25,6 +26,8 @@ from .common import bounded_join, stash
 from .components import connected_components
 
 PIVOTS, LENGTH, SHARED, BLOCK = 512, 8, 2, 1024
+#: Sampled vectors for each pivot that is chosen among them.
+SAMPLE = 4
 POSTING = "label string, pivot int, id long, times long, nearest array<int>, vector array<double>"
 
 
@@ -33,6 +36,18 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def choose_pivots(sample: np.ndarray, most: int, apart: float) -> np.ndarray:
+    """At most `most` of the unit vectors, each the farthest from those before it, until the farthest has a cosine of `apart`."""
+    took, near = [0], sample @ sample[0]
+    while len(took) < most:
+        k = int(np.argmin(near))
+        if near[k] >= apart:
+            break
+        took.append(k)
+        near = np.maximum(near, sample @ sample[k])
+    return sample[took]
+
+
 def _post(pivots: dict[int, np.ndarray], length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,11 +88,11 @@ def _search(least: float, shared: int):
             links = np.zeros(len(x), np.int64)
             edges: list[tuple[int, int]] = []
             label = np.arange(len(x))
-            for k in a:
-                to = b[b > k] if i == j else b
-                to = to[(v[to] @ v[k]) >= least]
-                if not len(to):
-                    continue
+            close = (v[a] @ v[b].T) >= least
+            if i == j:
+                close = np.triu(close, 1)
+            for n in np.flatnonzero(close.any(axis=1)):
+                k, to = a[n], b[close[n]]
                 same = (near[to][:, :, None] == near[k][None, None, :]).any(axis=2)
                 first = np.where(same, near[to], np.iinfo(np.int32).max).min(axis=1)
                 to = to[(first == pivot) & (same.sum(axis=1) >= min(shared, near.shape[1]))]
@@ -107,9 +122,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("mark", F.when(F.col("good"), F.xxhash64("label", "vector")))
     nodes = stash(rows.filter("good").groupBy("label", "mark", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("times")), "pivot-nodes")
     own: dict[int, np.ndarray] = {}
-    for r in nodes.orderBy(F.xxhash64("id"), "id").limit(pivots).collect():  # a bounded sample
+    for r in nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE * pivots).collect():  # a bounded sample
         own.setdefault(len(r.vector), []).append(r.vector)
-    own = {k: _unit(np.array(x)) for k, x in own.items()}
+    own = {k: choose_pivots(_unit(np.array(x)), pivots, 2 * least * least - 1) for k, x in own.items()}
     posted = stash(nodes.select("label", "id", "times", "vector").mapInArrow(_post(own, length), POSTING), "pivot-lists")
     sizes = posted.groupBy("label", "pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     x = bounded_join(posted, sizes, ["label", "pivot"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))

@@ -184,6 +184,20 @@ def test_pivot_index(spark):
     assert all(got[i].kept and got[i].n_links == 0 for i in (900, 901, 902, 903)) and got[905].component_id == 904
 
 
+def test_pivot_index_dense_group(spark):
+    """A third of the rows are near copies, and there are many more rows than pivots."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1500, 64))
+    v[:500] = v[0] + rng.normal(scale=0.05, size=(500, 64))
+    rows = [(i, [float(x) for x in e], 0) for i, e in enumerate(v)]
+    got = {r.vec_id: r for r in pivot_index.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), pivots=128, block=256).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near.sum() == 500 * 499 and sum(r.n_links for r in got.values()) >= 0.99 * near.sum()
+    assert all(got[i].n_links <= near[i].sum() for i in got) and {got[i].component_id for i in range(500)} == {0}
+
+
 def test_token_files(docs):
     from tokenizers import Tokenizer
 
