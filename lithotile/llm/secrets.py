@@ -2,8 +2,9 @@
 
 Strong spans are found by their pattern alone: assign, access and hex. Weak candidates (identifiers, bare secrets and
 endpoints) are reported only where complementary parts lie in the same scope, which is a distance of SCOPE code points
-between starts: an ident needs a secret, a weak secret needs an identifier or an endpoint, an endpoint needs both.
-The interval join is a range window over the parts of a document, so it makes no pairs and needs no cross join.
+from the end of one to the start of the next: an ident needs a secret, a weak secret needs an identifier or an endpoint, an endpoint needs both.
+The interval join is two running extremes over the parts of a document, the furthest end of those that start before and the
+nearest start of those after, so it makes no pairs and needs no cross join.
 
 Defined results: null and empty texts have no span; rows that repeat a doc_id are told apart by their text; extra columns
 are ignored. Positions are code points, ends exclusive.
@@ -15,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Code points between the starts of parts that belong together.
+#: Code points between parts that belong together.
 SCOPE = 256
 # The patterns of each kind. Keywords are matched in either case of their ASCII letters.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"""(?i)(?:user_?name|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
-WEAK = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,64}[0-9])(?=[A-Za-z0-9+/]{0,64}[A-Z])[A-Za-z0-9+/]{32,}={0,2}"
+WEAK = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])[A-Za-z0-9+/]{32,}={0,2}"
 ENDPOINT = r"""(?i)(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+"""
 STRONG = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
 LINKED = (("ident", IDENT), ("weak", WEAK), ("endpoint", ENDPOINT))
@@ -62,8 +63,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     x = x.select("doc_id", F.xxhash64(text).alias("mark"), *[find(text, k, p).alias(k) for k, p in STRONG + LINKED])
     parts = x.filter(F.size("ident") + F.size("weak") + F.size("endpoint") > 0)
     parts = parts.select("doc_id", "mark", F.explode(F.concat(*KINDS)).alias("s")).select("doc_id", "mark", "s.*").distinct()
-    near = Window.partitionBy("doc_id", "mark").orderBy("start").rangeBetween(-scope, scope)
-    kind = lambda *names: F.max(F.col("rank").isin([KINDS.index(n) for n in names]).cast("int")).over(near) == 1
+    one = Window.partitionBy("doc_id", "mark")
+    before, after = (one.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("start"), F.desc("start")))
+
+    def kind(*names: str) -> Column:
+        of = lambda c: F.when(F.col("rank").isin([KINDS.index(n) for n in names]), F.col(c))
+        reach, next_ = F.max(of("end")).over(before), F.min(of("start")).over(after)
+        return F.coalesce(reach >= F.col("start") - scope, F.lit(False)) | F.coalesce(next_ <= F.col("end") + scope, F.lit(False))
+
     parts = parts.withColumn("has_id", kind("access", "ident")).withColumn("has_secret", kind("assign", "hex", "weak")).withColumn("has_end", kind("endpoint"))
     is_ = lambda name: F.col("rank") == KINDS.index(name)
     linked = parts.filter((is_("ident") & F.col("has_secret")) | (is_("weak") & (F.col("has_id") | F.col("has_end"))) | (is_("endpoint") & F.col("has_id") & F.col("has_secret")))

@@ -255,6 +255,25 @@ def test_secrets(docs):
             assert r.spans == ""
 
 
+def test_secrets_scope(spark):
+    """The scope runs from end to start, past long parts, and a weak secret may have its digit or capital late."""
+    long, weak = "https://h.example/" + "x" * 400, "q" * 80 + "B7"
+    texts = [f"{long} login=bob", f"{weak} login=bob", f"{long} {weak}", f"login=bob {long} {weak}", "login=bob" + " " * 256 + weak, "login=bob" + " " * 257 + weak, f"{weak} {'- ' * 40}{long} login=bob {'- ' * 140}{weak}", f"{'p' * 80}7 login=bob"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rank = {k: i for i, k in enumerate(secrets.KINDS)}
+    for r in secrets.scan_secrets(docs).collect():
+        t = texts[r.doc_id]
+        parts = [(m.start(), rank[k], m.end()) for k, p in secrets.LINKED[::2] for m in re.finditer(p, t)]
+        parts += [(m.start(), rank["weak"], m.end()) for m in re.finditer(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0])]
+        want = []
+        for a, k, b in parts:
+            near = {x for s, x, e in parts if s <= b + 256 and e >= a - 256}
+            i, w, e = (rank[n] in near for n in ("ident", "weak", "endpoint"))
+            if (k == rank["ident"] and w) or (k == rank["weak"] and (i or e)) or (k == rank["endpoint"] and i and w):
+                want.append((a, k, b))
+        assert r.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want)) and bool(want) == (r.doc_id in (1, 2, 3, 4, 6))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
