@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_join, slices, stash
+from .common import slices
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 DIMENSIONS = 1 << 20
@@ -155,7 +155,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def _keeper(weights: np.ndarray, bias: float, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Weights(weights)
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                clean = [score_text(t or "", known, bias)[0] < 0.5 for t in batch.column(text_col).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that score one half or more."""
-    bad = toxicity(docs, labels, id_col, text_col, **options).filter("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct()
-    return bounded_join(docs, stash(bad, "toxic-ids"), [id_col], "left_anti")  # scored once
+    """docs without those that score one half or more. Each row goes by its own text, whatever its doc_id."""
+    return docs.mapInArrow(_keeper(*fit(docs, labels, id_col, text_col, **options), text_col), docs.schema)

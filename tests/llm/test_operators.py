@@ -170,6 +170,17 @@ def test_toxicity_held_out(spark):
     assert (t[:, None] > f[None, :]).mean() + (t[:, None] == f[None, :]).mean() / 2 > 0.8
 
 
+def test_drop_toxic_by_row(spark, monkeypatch):
+    """Null and repeated ids: each row goes by its own text."""
+    weights = np.zeros(toxicity.DIMENSIONS, np.float32)
+    weights[toxicity.features("idiot")[0]] = 40
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: (weights, -20.0))
+    rows = [(None, "you idiot", "a"), (None, "w1x", "b"), (1, "w1x. an idiot", "c"), (1, "w2x", "d"), (2, None, None), (3, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    left = toxicity.drop_toxic(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert left.schema == docs.schema and sorted(map(tuple, left.collect()), key=str) == sorted([rows[k] for k in (1, 3, 4, 5)], key=str)
+
+
 def test_pivot_index(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 16))
