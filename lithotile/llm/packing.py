@@ -11,21 +11,12 @@ or, in `pack_documents`, kept.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import n_words, stash
 
-#: Lengths up to this are cells of their own; longer ones share a cell with lengths at most 1/512 above.
-EXACT = 1024
-
-
-def cell_of(length: Column) -> Column:
-    """The upper end of the histogram cell that holds a length: at most EXACT + 512 cells for each further doubling."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.lit(1), length - 1))) - 9)).cast("long")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("long")
-
 
 def choose_boundaries(cells: list[int], counts: list[int], buckets: int) -> list[int]:
     """Upper ends of at most `buckets` buckets that minimise sum(count * (boundary - cell)); convex-hull dynamic programme."""
@@ -66,11 +57,12 @@ def choose_boundaries(cells: list[int], counts: list[int], buckets: int) -> list
 
 def plan_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 16, budget: int = 16384, shards: int = 1024, seed: int = 23) -> DataFrame:
     """doc_id, length, bucket, padded_length, batch (number within the bucket) and slot (place within the batch)."""
-    sized = stash(docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("length")).withColumn("cell", cell_of(F.col("length"))), "pack-lengths")
-    histogram = sorted((r.cell, r.n) for r in sized.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())  # at most EXACT + 512 * 54 rows
+    sized = stash(docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("length")), "pack-lengths")
+    # Different lengths: their number squared is less than 2 * (words + lengths), so 100 thousand at 5 * 10^9 words.
+    histogram = sorted((r.length, r.n) for r in sized.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
     ends = choose_boundaries([c for c, _ in histogram], [n for _, n in histogram], buckets) or [0]
     bounds = F.array(*[F.lit(x).cast("long") for x in ends])
-    bucket = F.array_size(F.filter(bounds, lambda e: e < F.col("cell")))
+    bucket = F.array_size(F.filter(bounds, lambda e: e < F.col("length")))
     x = sized.withColumn("bucket", bucket).withColumn("padded_length", F.element_at(bounds, F.col("bucket") + 1))
     x = x.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod("order", F.lit(shards)))
     counts = x.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))  # buckets * shards rows at most

@@ -252,6 +252,18 @@ def test_boundaries_are_optimal():
         assert cost(packing.choose_boundaries(cells, counts, 3)) == best
 
 
+def test_packing_long_lengths(spark):
+    """Boundaries are real lengths of least padding, for long texts too."""
+    import itertools
+
+    lengths = [1, 900, 1027, 1031, 1501, 2049, 3001, 5003, 7001, 19997]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    got = packing.plan_batches(docs, buckets=4).collect()
+    cost = lambda ends: sum(next(e for e in ends if e >= n) - n for n in lengths)
+    assert sum(r.padded_length - r.length for r in got) == min(cost([*x, 19997]) for x in itertools.combinations(lengths[:-1], 3))
+    assert {r.padded_length for r in got} <= set(lengths)
+
+
 def test_secrets(docs):
     assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     by_id = {r[0]: r[1] for r in sample()}
