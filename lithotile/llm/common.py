@@ -94,38 +94,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_powers = np.ones(1, np.uint64)
+_PIECE = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
+_POWER = np.cumprod(np.array([1] + [_BASE] * (2 * _PIECE), np.uint64), dtype=np.uint64)
+_INVERSE = np.cumprod(np.array([1] + [pow(_BASE, -1, 1 << 64)] * (2 * _PIECE), np.uint64), dtype=np.uint64)
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_BYTE_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) < 91), np.roll(_BYTE, -32), _BYTE)
 
 
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1024), _BASE)]), dtype=np.uint64)
-    return _powers
+def _long_word(values: np.ndarray) -> np.uint64:
+    """The hash of one word of more than _PIECE bytes: its pieces' sums, mixed in turn."""
+    h = np.full(1, len(values), np.uint64)
+    for a in range(0, len(values), _PIECE):
+        part = values[a : a + _PIECE]
+        h = mix64(h ^ (part * _POWER[: len(part)]).sum(dtype=np.uint64))
+    return h[0]
 
 
 def hash_words(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a buffer of UTF-8 bytes, and the place where each word starts."""
-    space = _SPACE[data]
-    keep = ~space
-    where = np.flatnonzero(keep)
-    if not len(where):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    first = np.ones(len(where), bool)
-    first[1:] = np.diff(where) > 1
-    heads = np.flatnonzero(first)
-    place = np.arange(len(where)) - np.repeat(heads, np.diff(np.append(heads, len(where))))
-    values = data[where]
-    if lower:
-        values = _LOWER[values]
-    terms = _BYTE[values] * _powers_to(int(place.max()) + 1)[place]
-    return mix64(np.add.reduceat(terms, heads)), where[heads]
+    """64-bit hashes of the words of a buffer of UTF-8 bytes, and the place where each word starts.
+
+    A word's hash is the difference of two running sums of byte * base^place, brought to place 0; sums run over pieces of
+    the buffer that end between words.
+    """
+    space = (data == 32) | ((data - np.uint8(9)) < 5)
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    if not len(starts):
+        return out, starts
+    table = _BYTE_LOWER if lower else _BYTE
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data) + _PIECE, _PIECE)))
+    sums = np.zeros(2 * _PIECE + 1, np.uint64)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        a, b = int(starts[i]), int(ends[j - 1])
+        if ends[j - 1] - starts[j - 1] > _PIECE:  # only the last word of a piece can reach beyond it
+            j -= 1
+            out[j] = _long_word(table[data[starts[j] : b]])
+            if i == j:
+                continue
+            b = int(ends[j - 1])
+        n = b - a
+        np.cumsum(table[data[a:b]] * _POWER[:n], out=sums[1 : n + 1])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = (sums[e] - sums[s]) * _INVERSE[s]
+    return mix64(out), starts
 
 
 def joined(column: pa.Array, sep: int = 10) -> tuple[np.ndarray, np.ndarray]:

@@ -305,3 +305,37 @@ def test_pipeline(spark, sf):
         docs_in, docs = docs, stage(spark, docs, sf)
         assert docs.columns[: len(docs_in.columns)] == docs_in.columns and (k == 4 or docs.columns == docs_in.columns)
     assert docs.count() > 50
+
+
+@pytest.mark.parametrize(("cap", "block_rows"), [(1, 3), (2, 1 << 16), (1, 40)])
+def test_line_dedup_asks_again(spark, cap, block_rows):
+    """Crowded lists cut into blocks, and candidates beyond the first few: still every match."""
+    rng = np.random.default_rng(11)
+    base = [[f"b{g}w{i}" for i in range(20)] for g in range(3)]
+    rows, seen, want = [], [], set()
+    for i in range(160):
+        lines = []
+        for _ in range(int(rng.integers(1, 4))):
+            words = list(base[rng.integers(3)])
+            for _ in range(int(rng.integers(0, 6))):
+                words[rng.integers(20)] = f"x{rng.integers(30)}"
+            lines.append(" ".join(words))
+        rows.append((i, "\n".join(lines)))
+        for k, line in enumerate(lines):
+            s = set(line.split())
+            if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                want.add((i, k))
+            seen.append(s)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in line_dedup.later_matches(docs, cap=cap, block_rows=block_rows).collect()} == want
+
+
+def test_dedup_lines_columns(docs):
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    gone = collections.defaultdict(set)
+    for r in line_dedup.later_matches(docs).collect():
+        gone[r.doc_id].add(r.line)
+    for i, t in {r[0]: r[1] for r in sample()}.items():
+        lines = [] if t is None else t.split("\n")
+        left = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone[i])
+        assert (got[i].n_lines, got[i].n_removed, got[i].removed, got[i].text) == (len(lines), len(gone[i]), sorted(gone[i]), left)
