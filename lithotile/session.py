@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of rows in an Arrow batch: long texts would else fill a worker's memory with a batch of default size.
+ARROW_BATCH = "8m"
 _shipped: set[str] = set()
 
 
@@ -16,6 +18,7 @@ def ship(spark: SparkSession) -> SparkSession:
     """Give this package to the executors once per application, so that Arrow functions can import it there."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
         home = Path(importlib.util.find_spec("lithotile").submodule_search_locations[0])
         path = Path(tempfile.mkdtemp(prefix="lithotile-ship-")) / "lithotile.zip"
         with zipfile.ZipFile(path, "w") as z:
