@@ -36,7 +36,7 @@ FIELDS = (("key", "<u4"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos",
 NARROW = {"doc": "<u4", "line": "<u2", "n": "<u2", "pos": "<u2"}
 ENTRY_BYTES = 40
 #: Entries that a task gathers before it deals them out.
-HELD = 400_000
+HELD = 250_000
 _U = np.uint64
 
 
@@ -205,7 +205,7 @@ def _entries(order: Order):
                 d, ln = ids[of].astype(np.int64), number[of]
                 s1, s2, odd0, odd1 = _marks(h, starts)
                 rep = np.ones(len(n), bool)
-                if len(seen) > 100_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 for i, (key, place) in enumerate(zip(zip(s1.tolist(), s2.tolist(), strict=True), zip(d.tolist(), ln.tolist(), strict=True), strict=True)):
                     old = seen.setdefault(key, place)
@@ -505,8 +505,9 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted[keys] = True
         asks = left.groupBy("b_doc").agg(F.collect_list(F.struct(F.col("b_line").alias("line"), F.col("ask").alias("key"))).alias("asks")).withColumnRenamed("b_doc", "doc_id")
         asked = bounded_join(texts, stash(asks, "lines-asking"), ["doc_id"], "left", bound).select("doc_id", "text", "asks")
-        rows = asked.mapInArrow(_quests(order, wanted), QUEST).repartition(parts, "part").sortWithinPartitions("key", "block", F.desc("ask"))
-        sure = sure.union(stash(rows.mapInArrow(_answers(order), "b_doc long, b_line int"), "line-answers"))
+        finer = Order(counts, percent, parts, max(1, block_rows // 16))  # whole sets are larger than entries
+        rows = asked.mapInArrow(_quests(finer, wanted), QUEST).repartition(parts, "part").sortWithinPartitions("key", "block", F.desc("ask"))
+        sure = sure.union(stash(rows.mapInArrow(_answers(finer), "b_doc long, b_line int"), "line-answers"))
     return gone.union(sure).distinct().select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"))
 
 
