@@ -1,9 +1,9 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-A block is BLOCK ids. Predictions of order 2 and order 1 (the id last seen after this context) get shares of the interval
-by their adaptive hit rates for the confidence they have earned; the rest goes to order 0, an adaptive distribution over
-size classes of ids that is even within a class. One interval in 2^32 codes an id. All blocks of a segment are coded in
-step, one lane each, so the arithmetic is numpy over lanes. Each block carries its CRC-32 and starts from a fresh model.
+A block is up to BLOCK ids, cut into streams (lanes) that are coded in step by numpy over lanes and share one adaptive model,
+which starts afresh with the block. The model mixes predictions of three orders: two guesses each of orders 2 and 1 get
+shares of the interval by their hit rates so far for the confidences they have earned, and the rest goes to order 0, an
+adaptive distribution over all ids. One interval in 2^32 codes an id. Each block carries the CRC-32 of its ids.
 
 A file is the segments of one range of doc_ids. A segment holds whole documents: their ids, lengths and blocks.
 Defined results: null and empty texts are the end identifier alone; rows are written in order of doc_id, then text, nulls
@@ -25,74 +25,104 @@ from pyspark.sql.window import Window
 from .common import slices, stash, text_bytes
 from .tokens import encoder, read_definition
 
-BLOCK = 1024
+BLOCK = 1 << 21
 SEGMENT = 4 << 20
 END = 1
-SLOTS2, SLOTS1, CLASSES = 256, 256, 18
-#: Lanes coded in step; their tables stay in a core's cache.
-LANES = 2048
-MOST = 60_000
+#: Most streams in a block, which are coded in step, and the least ids that each has.
+LANES, LEAST = 2048, 256
+#: Bits of the shares of orders 1 and 2, and of the order-2 table's index.
+BITS, SLOTS2 = 16, 17
+#: Most of the interval that guesses may take, of 2^BITS.
+MOST = 64_000
 SEGMENT_ROW = "file long, segment long, n_ids long, doc_ids array<long>, lengths array<int>, sizes binary, checks binary, payload binary"
 _U = np.uint64
 
 
 class _Model:
-    """The state of all lanes after the same number of ids. ids are below 2^18."""
-
-    def __init__(self, lanes: int):
-        self.n, self.lane = lanes, np.arange(lanes)
-        self.base2, self.base1 = self.lane * SLOTS2, self.lane * SLOTS1
-        self.slot2, self.slot1 = np.zeros(lanes * SLOTS2, np.uint32), np.zeros(lanes * SLOTS1, np.uint32)  # id * 4 + confidence
-        self.rate2, self.rate1 = np.tile(np.array([600, 20000, 36000, 48000], np.int32), (lanes, 1)).ravel(), np.tile(np.array([600, 8000, 16000, 30000], np.int32), (lanes, 1)).ravel()
-        self.count0 = np.full((CLASSES, lanes), 8, np.int32)
-        self.sum0 = np.full(lanes, 8 * CLASSES, np.float32)
-        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.lane4 = self.lane * 4
+    """What all lanes of a block have seen after the same number of steps; a fresh one for each block.
+
+    Order 0 is a distribution over the block's ids (numbered 0 .. ids - 1) that follows the counts so far; it is drawn anew
+    after steps that double and then come every REDRAW. Orders 2 and 1 hold a guess for each context, with the confidence it
+    has earned. The shares of the guesses are their hit rates so far in the same pair of confidences; order 0 has the rest.
+    """
+
+    REDRAW = 64
+
+    def __init__(self, lanes: int, ids: int):
+        self.ids, self.step, self.next, self.bits0 = ids, 0, 1, max(16, ids.bit_length() + 4)
+        self.slot2, self.slot1 = np.zeros(1 << SLOTS2, np.int64), np.zeros(ids, np.int64)  # id * 8 + confidence
+        self.hits2, self.hits1, self.tries = np.full(64, 2.0), np.full(64, 2.0), np.full(64, 16.0)
+        self.counts, self.seen = np.zeros(ids, np.int64), []
+        self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.draw()
+        self.share()
+
+    def draw(self) -> None:
+        free = (1 << self.bits0) - self.ids
+        freq = self.counts * free // max(int(self.counts.sum()), 1) + 1
+        freq[0] += (1 << self.bits0) - int(freq.sum())
+        self.freq0 = freq.astype(_U)
+        self.cum0 = np.cumsum(self.freq0) - self.freq0
+        self.drawn = None
+
+    def share(self) -> None:
+        """For each pair of confidences, and once more where both orders guess the same: ends of the guesses' shares, order 0's unit."""
+        rate2, rate1 = self.hits2 / self.tries, self.hits1 / self.tries
+        scale = (MOST - 64) / np.maximum(1.0, rate2 + rate1)
+        w2 = ((rate2 * scale).astype(np.int64) + 8).astype(_U) << _U(32 - BITS)
+        w1 = ((rate1 * scale).astype(np.int64) + 8).astype(_U) << _U(32 - BITS)
+        self.end2, self.end1 = np.concatenate([w2, w2]), np.concatenate([w2 + w1, w2])
+        self.units = ((_U(1) << _U(32)) - self.end1) >> _U(self.bits0)
 
     def predict(self) -> None:
-        self.at2 = self.base2 + (((self.a * np.uint32(0x9E3779B1)) ^ (self.b * np.uint32(0x85EBCA6B))) >> np.uint32(24))
-        self.at1 = self.base1 + ((self.b * np.uint32(0xC2B2AE35)) >> np.uint32(24))
-        got2, got1 = self.slot2[self.at2], self.slot1[self.at1]
-        self.p2, self.p1 = got2 >> np.uint32(2), got1 >> np.uint32(2)
-        self.c2, self.c1 = got2 & np.uint32(3), got1 & np.uint32(3)
-        self.s2, self.s1 = self.lane4 + self.c2, self.lane4 + self.c1
-        r2, r1 = self.rate2[self.s2].astype(np.int64), self.rate1[self.s1].astype(np.int64)
-        self.w2 = (r2 * (MOST - 200) >> 16) + 100
-        w1 = ((MOST - self.w2) * r1 >> 16) + 1
-        self.w1 = np.where(self.p1 == self.p2, 0, w1)  # one id gets one share
-        self.rest = ((65536 - self.w2 - self.w1) << 16).astype(np.uint64)
-
-    def update(self, ids: np.ndarray, cls: np.ndarray, coded0: np.ndarray) -> None:
-        high = ids << np.uint32(2)
-        for slot, rate, at, s, c, p in ((self.slot2, self.rate2, self.at2, self.s2, self.c2, self.p2), (self.slot1, self.rate1, self.at1, self.s1, self.c1, self.p1)):
-            hit = p == ids
-            r = rate[s]
-            rate[s] = r + (((hit * np.int32(65535)) - r) >> np.int32(4))
-            slot[at] = high | np.where(hit, _SURER[c], np.uint32(1))
-        some = np.flatnonzero(coded0)
-        self.count0[cls[some], some] += 24
-        self.sum0[some] += 24
+        self.at2 = (self.a * 40503 + self.b * 0x9E3779B1 >> 7) & ((1 << SLOTS2) - 1)
+        self.got2, self.got1 = self.slot2.take(self.at2), self.slot1.take(self.b)
+        self.p2, self.p1 = self.got2 >> 3, self.got1 >> 3
+        self.sure2, self.sure1 = self.got2 & 7, self.got1 & 7
+        self.pair = (self.sure2 << 3) | self.sure1
+        state = self.pair + ((self.p2 == self.p1).view(np.int8) * np.int64(64))
+        self.upper2, self.upper1, self.unit = self.end2.take(state), self.end1.take(state), self.units.take(state)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each id's interval."""
+        self.hit2, self.same1 = self.p2 == ids, self.p1 == ids
+        self.hit1 = self.same1 & ~self.hit2
+        start = self.unit * self.cum0.take(ids) + self.upper1
+        width = self.unit * self.freq0.take(ids)
+        np.copyto(start, self.upper2, where=self.hit1)
+        np.copyto(width, self.upper1 - self.upper2, where=self.hit1)
+        np.copyto(start, _U(0), where=self.hit2)
+        np.copyto(width, self.upper2, where=self.hit2)
+        return start, width
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold these places."""
+        if self.drawn is None:
+            self.drawn = np.repeat(np.arange(self.ids, dtype=np.int32), self.freq0.astype(np.int64))
+        inside = (np.maximum(place, self.upper1) - self.upper1) // self.unit
+        out = self.drawn.take(inside.view(np.int64), mode="clip").astype(np.int64)
+        np.copyto(out, self.p1, where=place < self.upper1)
+        np.copyto(out, self.p2, where=place < self.upper2)
+        return out
+
+    def update(self, ids: np.ndarray) -> None:
+        new = ids << 3
+        for slot, at, got, sure, hit in ((self.slot2, self.at2, self.got2, self.sure2, self.hit2), (self.slot1, self.b, self.got1, self.sure1, self.same1)):
+            # a hit is surer; a miss costs a sure guess two and replaces the others
+            slot[at] = np.where(hit, got + (sure < 7), np.where(sure > 1, got - 2, new))
+        self.tries += np.bincount(self.pair, minlength=64)
+        self.hits2 += np.bincount(self.pair, self.hit2, 64)
+        self.hits1 += np.bincount(self.pair, self.hit1, 64)
+        self.seen.append(ids)
         self.a, self.b = self.b, ids
-
-    def order0(self) -> np.ndarray:
-        """Upper ends of the classes' shares, of 4096, one at least for each."""
-        scale = np.float32(4095 - CLASSES) / self.sum0
-        total = self.count0.astype(np.float32)
-        for k in range(1, CLASSES):
-            total[k] += total[k - 1]
-        upper = (total * scale).astype(np.int32)
-        upper += _STEPS
-        return upper
-
-
-def _class(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)  # bits of the id
-
-
-_SURER = np.array([1, 2, 3, 3], np.uint32)
-_STEPS = np.arange(1, CLASSES + 1, dtype=np.int32)[:, None]
-_BITS = np.maximum(np.arange(CLASSES) - 1, 0).astype(np.uint64)
-_FIRST = np.concatenate([[0], 1 << np.arange(CLASSES - 1)]).astype(np.uint64)
+        self.step += 1
+        if self.step == self.next:
+            self.next += min(self.step, self.REDRAW)
+            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.ids)
+            self.seen.clear()
+            self.draw()
+        if self.step % 8 == 0 or self.step < 16:
+            self.share()
 
 
 class _Coder:
@@ -127,99 +157,79 @@ class _Coder:
             self.range[lanes] = rng << _U(16)
 
 
-def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids (lanes, steps) -> 16-bit words of all lanes on end, and how many each lane has."""
-    lanes, steps = ids.shape
-    model, coder = _Model(lanes), _Coder(lanes)
-    out, used = np.zeros((lanes, steps * 2 + 16), np.uint16), np.zeros(lanes, np.int64)
-    by_step = np.ascontiguousarray(ids.T.astype(np.uint32))
-    for t in range(steps):
-        x = by_step[t]
+def _lanes(n: int) -> int:
+    return min(LANES, max(1, n // LEAST))
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """The bytes in the alphabet, the alphabet (a bit map of ids, by zlib), the 16-bit words in each lane, and the lanes' words on end."""
+    lanes = _lanes(len(ids))
+    steps = -(-len(ids) // lanes)
+    there = np.zeros(int(ids.max()) + 1, bool)
+    there[ids] = True
+    alphabet = zlib.compress(np.packbits(there).tobytes())
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[: len(ids)] = (np.cumsum(there) - 1)[ids]
+    model, coder, lane = _Model(lanes, int(there.sum())), _Coder(lanes), np.arange(lanes)
+    out, used = np.zeros((lanes, steps * 2 + 64), np.uint16), np.zeros(lanes, np.int64)
+    for x in np.ascontiguousarray(grid.reshape(lanes, steps).T):
         model.predict()
-        hit2 = model.p2 == x
-        hit1 = (model.p1 == x) & ~hit2
-        miss = ~(hit2 | hit1)
-        cls = _class(x)
-        upper = model.order0()
-        hi = upper[cls, model.lane].astype(np.uint64)
-        lo = np.where(cls > 0, upper[np.maximum(cls - 1, 0), model.lane], 0).astype(np.uint64)
-        unit = model.rest >> _U(12)
-        width = (unit * (hi - lo)) >> _BITS[cls]
-        w2, w1 = model.w2.astype(np.uint64) << _U(16), model.w1.astype(np.uint64) << _U(16)
-        cum = np.where(hit2, _U(0), np.where(hit1, w2, w2 + w1 + unit * lo + width * (x.astype(np.uint64) - _FIRST[cls])))
-        freq = np.where(hit2, w2, np.where(hit1, w1, width))
-        coder.narrow(cum, freq)
+        coder.narrow(*model.interval(x))
         for at, words in coder.settle():
             out[at, used[at]] = words
             used[at] += 1
-        model.update(x, cls, miss)
+        if int(used.max()) > out.shape[1] - 16:
+            out = np.concatenate([out, np.zeros_like(out)], axis=1)
+        model.update(x)
     for k in range(4):
-        out[model.lane, used + k] = (coder.low >> _U(48 - 16 * k)).astype(np.uint16)
+        out[lane, used + k] = (coder.low >> _U(48 - 16 * k)).astype(np.uint16)
     used += 4
     keep = np.arange(out.shape[1])[None, :] < used[:, None]
-    return out[keep], used
-
-
-def decode_blocks(words: np.ndarray, used: np.ndarray, steps: int) -> np.ndarray:
-    lanes = len(used)
-    model, coder = _Model(lanes), _Coder(lanes)
-    ends = np.cumsum(used)
-    place = ends - used
-    padded = np.concatenate([words, np.zeros(8, np.uint16)])
-    code = np.zeros(lanes, np.uint64)
+    return b"".join([np.array([len(alphabet)], "<u4").tobytes(), alphabet, used.astype("<u4").tobytes(), out[keep].astype("<u2").tobytes()])
+
+
+def decode_block(block: bytes, n: int) -> np.ndarray:
+    lanes = _lanes(n)
+    steps = -(-n // lanes)
+    at = 4 + int(np.frombuffer(block, "<u4", 1)[0])
+    alphabet = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(block[4:at]), np.uint8)))
+    used = np.frombuffer(block, "<u4", lanes, at).astype(np.int64)
+    padded = np.concatenate([np.frombuffer(block, "<u2", offset=at + 4 * lanes), np.zeros(8, np.uint16)])
+    model, coder = _Model(lanes, len(alphabet)), _Coder(lanes)
+    place = np.cumsum(used) - used
+    code = np.zeros(lanes, _U)
     for _ in range(4):
-        code = (code << _U(16)) | padded[place].astype(np.uint64)
+        code = (code << _U(16)) | padded[place].astype(_U)
         place += 1
-    out = np.zeros((steps, lanes), np.uint32)
+    out = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
         model.predict()
-        r = coder.range >> _U(32)
-        v = (code - coder.low) // r
-        w2, w1 = model.w2.astype(np.uint64) << _U(16), model.w1.astype(np.uint64) << _U(16)
-        hit2 = v < w2
-        hit1 = ~hit2 & (v < w2 + w1)
-        miss = ~(hit2 | hit1)
-        upper = model.order0()
-        unit = model.rest >> _U(12)
-        inside = np.where(miss, v - np.where(miss, w2 + w1, _U(0)), _U(0))
-        share = (inside // unit).astype(np.int64)
-        cls = np.minimum((upper <= share).sum(axis=0), CLASSES - 1)
-        hi = upper[cls, model.lane].astype(np.uint64)
-        lo = np.where(cls > 0, upper[np.maximum(cls - 1, 0), model.lane], 0).astype(np.uint64)
-        width = (unit * (hi - lo)) >> _BITS[cls]
-        offset = np.minimum((inside - np.where(miss, unit * lo, _U(0))) // width, (_U(1) << _BITS[cls]) - _U(1))
-        x = np.where(hit2, model.p2, np.where(hit1, model.p1, (_FIRST[cls] + offset).astype(np.uint32))).astype(np.uint32)
-        cum = np.where(hit2, _U(0), np.where(hit1, w2, w2 + w1 + unit * lo + width * offset))
-        freq = np.where(hit2, w2, np.where(hit1, w1, width))
-        coder.narrow(cum, freq)
+        out[t] = x = model.find((code - coder.low) // (coder.range >> _U(32)))
+        coder.narrow(*model.interval(x))
         for at, _ in coder.settle():
-            code[at] = (code[at] << _U(16)) | padded[np.minimum(place[at], len(padded) - 1)].astype(np.uint64)
+            code[at] = (code[at] << _U(16)) | padded.take(place[at], mode="clip").astype(_U)
             place[at] += 1
-        out[t] = x
-        model.update(x, _class(x), miss)
-    return out.T
+        model.update(x)
+    return alphabet[out.T.ravel()[:n]]
 
 
 def pack_segment(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, bytes, bytes]:
-    """(words in each block, CRC-32 of each block's ids, payload) of a run of ids; the last block is filled up with zeros."""
-    lanes = -(-len(ids) // block)
-    grid = np.zeros(lanes * block, "<u4")
-    grid[: len(ids)] = ids
-    grid = grid.reshape(lanes, block)
-    checks = np.array([zlib.crc32(row.tobytes()) for row in grid], "<u4")
-    coded = [encode_blocks(grid[a : a + LANES]) for a in range(0, lanes, LANES)]
-    return np.concatenate([u for _, u in coded]).astype("<u4").tobytes(), checks.tobytes(), np.concatenate([w for w, _ in coded]).astype("<u2").tobytes()
+    """(bytes of each block, CRC-32 of each block's ids, payload) of a run of ids."""
+    parts = [ids[a : a + block].astype("<u4") for a in range(0, len(ids), block)]
+    coded = [encode_block(x) for x in parts]
+    checks = np.array([zlib.crc32(x.tobytes()) for x in parts], "<u4")
+    return np.array([len(w) for w in coded], "<u4").tobytes(), checks.tobytes(), b"".join(coded)
 
 
 def unpack_segment(sizes: bytes, checks: bytes, payload: bytes, n: int, block: int = BLOCK) -> np.ndarray:
-    words, used = np.frombuffer(payload, "<u2"), np.frombuffer(sizes, "<u4").astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(used)])
-    parts = [decode_blocks(words[ends[a] : ends[min(a + LANES, len(used))]], used[a : a + LANES], block) for a in range(0, len(used), LANES)]
-    grid = np.ascontiguousarray(np.concatenate(parts), "<u4")
-    for i, (row, check) in enumerate(zip(grid, np.frombuffer(checks, "<u4"), strict=True)):
-        if zlib.crc32(row.tobytes()) != check:
+    parts, end = [], 0
+    for i, (size, check) in enumerate(zip(np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(checks, "<u4").tolist(), strict=True)):
+        ids = decode_block(payload[end : end + size], min(block, n - i * block)).astype("<u4")
+        if zlib.crc32(ids.tobytes()) != check:
             raise ValueError(f"block {i} does not match its checksum")
-    return grid.ravel()[:n]
+        parts.append(ids)
+        end += size
+    return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
 def _write(definition: str, end: int, segment: int, block: int):

@@ -1,19 +1,21 @@
 """Token ids of whole texts by a public tokenizer file of the tokenizers library.
 
-The library encodes each distinct white-space-free piece once; its ids are then looked up. This gives the ids of the
-whole text where the tokenizer drops white space and its normaliser and splitter work inside pieces, which
-`TextEncoder` holds by comparing a sample text when it is made.
+The library encodes white-space-free pieces, each once while it is remembered; this gives the ids of the
+whole text where the tokenizer drops white space and its normaliser and splitter work inside pieces, which `TextEncoder`
+holds by comparing a sample text when it is made. Of plain words it runs the library's model alone, if samples allow that.
 """
 
 from __future__ import annotations
 
-from itertools import chain
+import re
+import struct
 
 import numpy as np
 from tokenizers import Tokenizer
 
 _encoders: dict[tuple, TextEncoder] = {}
 _SAMPLE = "A  one-two\tDon't  STOP\n café naïve <|endoftext|> x_1.5 (y) z İ ΣΣ. é 42%"
+_WORDS = "The quick brown Fox, jumps! over (a) thnd. ingtion) Erhaine?! WORD;: z A... supercalifragilistic] aaaaaaaaaaaa it'll A$%# b,### c***~ d_"
 
 
 def default_path() -> str:
@@ -22,37 +24,70 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters of ASCII and Latin-1 with marks behind them: the splitter parts the two, and only the letters' case is changed.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{}~]*)")
+_LATIN = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+
+
+class _Pieces(dict):
+    """Packed ids of pieces, worked out once. When it is full it becomes the old generation, from which what is used returns."""
+
+    def __init__(self, encoder: TextEncoder, most: int):
+        super().__init__()
+        self.encoder, self.most, self.old = encoder, most, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            m = _PLAIN.fullmatch(piece) if self.encoder.plain else None
+            if m is None:
+                ids = self.encoder.whole(piece)
+            else:
+                word, marks = m.groups()
+                low = word.lower()
+                ids = self.encoder.word(low) if low == piece else self[low] + self[marks] if marks else self[low]
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class TextEncoder:
     """Ids of UTF-8 texts as packed little-endian unsigned integers."""
 
-    def __init__(self, definition: str, special_as_text: bool = False, dtype: str = "<u4", most: int = 500_000):
+    def __init__(self, definition: str, special_as_text: bool = False, dtype: str = "<u4", most: int = 400_000):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.dtype, self.most, self.known = np.dtype(dtype), most, {}
-        whole = self.tokenizer.encode(_SAMPLE, add_special_tokens=False).ids
-        if np.frombuffer(self.encode(_SAMPLE.encode()), self.dtype).tolist() != whole:
+        self.model, self.dtype, self.letters, self.plain = self.tokenizer.model, np.dtype(dtype), {}, False
+        self.pieces = _Pieces(self, most)
+        if self.encode(_SAMPLE.encode()) != self.whole(_SAMPLE.encode()):
             raise ValueError("this tokenizer does not encode white-space-free pieces on their own")
-
-    def learn(self, texts: list[bytes]) -> list[list[bytes]]:
-        """Split the texts and encode the pieces that are new."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        split = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.known))
-        for a in range(0, len(new), 2000):  # many pieces in one text cost less than a call for each
-            part = new[a : a + 2000]
-            words = [w.decode() for w in part]
-            got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-            first = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
-            cuts = (np.searchsorted(first, starts) * self.dtype.itemsize).tolist()
-            packed = np.array(got.ids, self.dtype).tobytes()
-            self.known.update((w, packed[x:y]) for w, x, y in zip(part, cuts, cuts[1:], strict=False))
-        return split
+        # Where its model alone gives the same ids for plain words, the normaliser and splitter need not run on them.
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda x: [(x, (0, 1))]
+        self.letters = str.maketrans({c: split(c)[0][0] for c in _LATIN})
+        plain = _WORDS.encode().split() + [f"x{c}y".encode() for c in _LATIN] + [_LATIN.encode()]
+        self.pieces.clear()
+        self.plain = True
+        self.plain = self.encode_many(plain) == [self.whole(w) for w in plain]
+        self.pieces.clear()
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
+
+    def whole(self, text: bytes) -> bytes:
+        return self.packed(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+
+    def word(self, low: bytes) -> bytes:
+        """A plain word whose ASCII letters are lower case, by the library's model alone."""
+        text = low.decode()
+        if not text.isascii():
+            text = text.lower().translate(self.letters)
+        return self.packed([t.id for t in self.model.tokenize(text)])
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        look = self.known.__getitem__
-        return [b"".join(map(look, pieces)) for pieces in self.learn(texts)]
+        look = self.pieces.__getitem__
+        return [b"".join(map(look, t.split())) for t in texts]
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_many([text])[0]

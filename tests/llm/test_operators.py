@@ -339,3 +339,30 @@ def test_dedup_lines_columns(docs):
         lines = [] if t is None else t.split("\n")
         left = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone[i])
         assert (got[i].n_lines, got[i].n_removed, got[i].removed, got[i].text) == (len(lines), len(gone[i]), sorted(gone[i]), left)
+
+
+def test_id_files_are_small():
+    """Fewer bits an id, with alphabets, sizes and checksums, than the static entropy of order 0 and than zlib of 16-bit ids."""
+    import pyarrow.parquet as pq
+
+    from lithotile.llm import tokens
+
+    texts = [(t or "").encode() for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    encoder = tokens.TextEncoder(tokens.read_definition(), most=20_000)
+    packed = encoder.encode_many(texts)
+    for t, ids in list(zip(texts, packed, strict=True))[::9]:
+        assert ids == encoder.whole(t)
+    ids = np.concatenate([np.append(np.frombuffer(b, "<u4"), 1) for b in packed]).astype("<u4")
+    segment = range_coder.pack_segment(ids)
+    assert (range_coder.unpack_segment(*segment, len(ids)) == ids).all()
+    bits = 8 * sum(map(len, segment)) / len(ids)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert bits < -(share * np.log2(share)).sum() and bits < 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 6)) / len(ids)
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 5000, 70_001])
+def test_block_round_trip(n):
+    rng = np.random.default_rng(n)
+    for ids in (rng.integers(0, 49408, n), np.full(n, 7), np.arange(n) % 3, rng.integers(0, 2**20, n)):
+        ids = ids.astype("<u4")
+        assert (range_coder.unpack_segment(*range_coder.pack_segment(ids, 4096), n, 4096) == ids).all()
