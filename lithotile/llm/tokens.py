@@ -56,7 +56,7 @@ class _Pieces(dict):
 class TextEncoder:
     """Ids of UTF-8 texts as packed little-endian unsigned integers."""
 
-    def __init__(self, definition: str, special_as_text: bool = False, dtype: str = "<u4", most: int = 400_000):
+    def __init__(self, definition: str, special_as_text: bool = False, dtype: str = "<u4", most: int = 600_000):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = special_as_text
         self.model, self.dtype, self.letters, self.plain = self.tokenizer.model, np.dtype(dtype), {}, False
