@@ -366,3 +366,24 @@ def test_block_round_trip(n):
     for ids in (rng.integers(0, 49408, n), np.full(n, 7), np.arange(n) % 3, rng.integers(0, 2**20, n)):
         ids = ids.astype("<u4")
         assert (range_coder.unpack_segment(*range_coder.pack_segment(ids, 4096), n, 4096) == ids).all()
+
+
+def test_pivot_index_recall(spark):
+    """Far more rows than pivots, over 10000 links near the least cosine, repeated ids, extra columns."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 48))
+    near = np.sqrt(rng.uniform(0.006, 0.018, size=(3000, 1, 1)))
+    v = (base[:, None, :] + rng.normal(size=(3000, 4, 48)) * near).reshape(-1, 48).astype(np.float32)
+    label = np.repeat(np.arange(3000) % 3, 4)
+    ids = np.arange(len(v))
+    ids[-2:] = ids[-4]
+    rows = [(int(i), x.tolist(), int(k), "x", 1) for i, x, k in zip(ids, v, label, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, pivot string, times int")
+    got = pivot_index.near_vectors(df).groupBy("vec_id").max("n_links").collect()
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    want = np.zeros(len(v), np.int64)
+    for k in range(3):
+        at = np.flatnonzero(label == k)
+        want[at] = (u[at] @ u[at].T >= 0.98).sum(axis=1) - 1
+    assert want.sum() > 20_000 and len(got) == len(v) - 2
+    assert sum(n for _, n in got) >= 0.95 * want[:-4].sum() and all(n <= want[i] for i, n in got if i < len(v) - 4)
