@@ -12,11 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a table that may be broadcast; larger tables are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast, as summed over its rows; larger tables are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _roots: dict[str, str] = {}
 
@@ -52,9 +53,23 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast small only if its counted rows are within the bound; otherwise Spark joins by shuffle with skew handling."""
-    if small.limit(bound + 1).count() <= bound:
+def _width(field: StructField) -> Column | int:
+    """Bytes of a column in a broadcast row, at least about."""
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+    if isinstance(field.dataType, ArrayType):
+        each = 40 if isinstance(field.dataType.elementType, (StringType, StructType)) else 8
+        return F.coalesce(F.array_size(field.name), F.lit(0)) * each + 24
+    return 8
+
+
+def bounded_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast small only if the bytes of its rows, summed, are within the bound; otherwise Spark joins by shuffle with skew handling.
+
+    small is read for the sum and for the join, so it is a written table or one that costs little.
+    """
+    row = sum((_width(f) for f in small.schema.fields), F.lit(32).cast("long"))
+    if (small.agg(F.sum(row)).first()[0] or 0) <= bound:
         small = F.broadcast(small)
     return big.join(small, on, how)
 

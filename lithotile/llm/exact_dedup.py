@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_join, stash
+from .common import BROADCAST_BYTES, bounded_join, stash
 
 SPACES = r"[\x20\x09-\x0D]+"
 KEY_BITS = 60
@@ -134,7 +134,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(done)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 512, max_depth: int = 16, flush_bytes: int = 32 << 20, bound: int = BROADCAST_ROWS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 512, max_depth: int = 16, flush_bytes: int = 32 << 20, bound: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     capacity: distinct keys in a bucket; max_depth: bits of the directory, of at most 2^max_depth entries.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_join, hash_words, joined, mix64, slices, stash
+from .common import BROADCAST_BYTES, bounded_join, hash_words, joined, mix64, slices, stash
 
 BUCKETS = 1 << 22
 #: Buckets in a row of counts, which travels as one array.
@@ -485,7 +485,7 @@ def _answers(order: Order):
     return run
 
 
-def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, cap: int = 4, block_rows: int = 1 << 16, part_bytes: int = 12 << 20, bound: int = BROADCAST_ROWS) -> DataFrame:
+def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, cap: int = 4, block_rows: int = 1 << 16, part_bytes: int = 12 << 20, bound: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, line) of every line, counted from 0, that an earlier line matches."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")

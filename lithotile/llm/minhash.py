@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_join, hash_words, joined, mix64, slices, stash
+from .common import BROADCAST_BYTES, bounded_join, hash_words, joined, mix64, slices, stash
 from .components import connected_components
 
 WORDS = 5
@@ -124,9 +124,10 @@ def _check(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, salt_rows: int = 256, bound: int = BROADCAST_ROWS) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, salt_rows: int = 256, bound: int = BROADCAST_BYTES) -> DataFrame:
     """Those of the distinct pairs (a, b) whose texts' sets reach the similarity. A hot a is split into salts of about salt_rows."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts"))
+    degree = stash(degree, "minhash-degrees")
     members = bounded_join(pairs, degree, ["a"], "inner", bound).select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("id"))
     centres = degree.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("id"))
     asked = stash(members.union(centres), "minhash-asked")
@@ -153,18 +154,14 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -
 
 
 def _cross(percent: int):
-    def links(i: int, j: int, own: list, ids: list, comp: list, sets: list) -> list[tuple[int, int]]:
-        first = [k for k in range(len(own)) if own[k] == i]
-        second = first if i == j else [k for k in range(len(own)) if own[k] == j]
+    def links(role: list, ids: list, comp: list, sets: list) -> list[tuple[int, int]]:
+        first, second = ([k for k in range(len(role)) if role[k] == r] for r in (0, 1))
         if not first or not second:
             return []
         label = np.array(comp)
-        la, lb = label[first], label[second]
-        if la.min() == la.max() == lb.min() == lb.max():
-            return []
         m = common_counts([sets[k] for k in first], [sets[k] for k in second])
         na, nb = np.array([len(sets[k]) for k in first]), np.array([len(sets[k]) for k in second])
-        near = (100 * m >= percent * (na[:, None] + nb[None, :] - m)) & (la[:, None] != lb[None, :])
+        near = (100 * m >= percent * (na[:, None] + nb[None, :] - m)) & (label[first][:, None] != label[second][None, :])
         out = []
         for x, y in zip(*np.nonzero(near), strict=True):
             p, q = first[x], second[y]
@@ -174,40 +171,49 @@ def _cross(percent: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by (band, key, i, j): two blocks at most are held."""
+        """Rows come by (band, key, i, j): one piece of strays and one block are held."""
         now, held = None, ([], [], [], [])
 
         def close() -> Iterator[pa.RecordBatch]:
-            if now is not None and (found := links(now[2], now[3], *held)):
+            if now is not None and (found := links(*held)):
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         for whole in batches:
             for batch in slices(whole):
-                rows = zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "own", "id", "comp")), strict=True)
-                for (band, key, i, j, own, id_, comp), s in zip(rows, shingle_sets(batch.column("text")), strict=True):
+                rows = zip(*(batch.column(c).to_pylist() for c in ("band", "key", "i", "j", "role", "id", "comp")), strict=True)
+                for (band, key, i, j, role, id_, comp), s in zip(rows, shingle_sets(batch.column("text")), strict=True):
                     if (band, key, i, j) != now:
                         yield from close()
                         now, held = (band, key, i, j), ([], [], [], [])
-                    for to, v in zip(held, (own, id_, comp, s), strict=True):
+                    for to, v in zip(held, (role, id_, comp, s), strict=True):
                         to.append(v)
         yield from close()
 
     return run
 
 
-def crossing_links(members: DataFrame, texts: DataFrame, percent: int, block: int = 512, block_shingles: int = 400_000, bound: int = BROADCAST_ROWS) -> DataFrame:
+def crossing_links(members: DataFrame, texts: DataFrame, percent: int, block: int = 512, block_shingles: int = 400_000, bound: int = BROADCAST_BYTES) -> DataFrame:
     """Links (a, b) between different components of one bucket; members (band, key, id, comp, n).
 
-    A large bucket is cut into blocks, one task group for each pair of blocks. Pairs are checked where they are; what comes
-    out are links that join components, never pairs.
+    A bucket's members outside its largest component are its strays: every crossing pair holds one. Members lie in blocks,
+    strays in pieces, and a task group checks a piece against a block where they are, so the pairs are strays times members.
+    What comes out are links that join components, never pairs.
     """
-    sizes = members.groupBy("band", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    open_ = sizes.filter("c0 != c1").select("band", "key", "blocks")
-    x = bounded_join(members, open_, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = stash(x.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp"), "minhash-open")
-    rows = bounded_join(texts.withColumnRenamed("doc_id", "id"), x, ["id"], "inner", bound).select("band", "key", "i", "j", "own", "id", "comp", "text")
-    rows = rows.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    bucket = ["band", "key"]
+    each = members.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    parts = lambda m, n: F.greatest(F.lit(1), F.ceil(m / block), F.ceil(n / block_shingles)).cast("int")
+    most = F.max(F.struct("m", "n", "comp"))
+    m, n = F.sum("m"), F.sum("n")
+    open_ = each.groupBy(*bucket).agg(parts(m, n).alias("blocks"), parts(m - most["m"], n - most["n"]).alias("pieces"), most["comp"].alias("major"), F.count(F.lit(1)).alias("comps"))
+    open_ = stash(open_.filter("comps > 1").drop("comps"), "minhash-open-buckets")
+    x = bounded_join(members, open_, bucket, "inner", bound)
+    own, piece = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("pieces")).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    strays = x.filter("comp != major").select(*bucket, piece.alias("i"), upto("blocks").alias("j"), F.lit(0).alias("role"), "id", "comp")
+    lying = x.select(*bucket, upto("pieces").alias("i"), own.alias("j"), F.lit(1).alias("role"), "id", "comp")
+    x = stash(strays.union(lying), "minhash-open")
+    rows = bounded_join(texts.withColumnRenamed("doc_id", "id"), x, ["id"], "inner", bound).select(*bucket, "i", "j", "role", "id", "comp", "text")
+    rows = rows.repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j")
     return rows.mapInArrow(_cross(percent), "a long, b long").distinct()
 
 
@@ -221,14 +227,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = buckets.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "key", "centre")
     members = stash(bounded_join(buckets, stash(full, "minhash-buckets"), ["band", "key"]), "minhash-members")
     star = members.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links = stash(verified(star, texts, percent), "minhash-links")
+    links = stash(verified(stash(star, "minhash-star"), texts, percent), "minhash-links")
     first = stash(connected_components(links), "minhash-first")
     labelled = bounded_join(members, first.withColumnRenamed("node", "id"), ["id"], "left").select("band", "key", "id", F.coalesce("component", "id").alias("comp"), "n")
     links = links.union(stash(crossing_links(labelled, texts, percent), "minhash-crossing"))
     # a repeated doc_id joins what its texts belong to
     ids = some.join(nodes.select("f1", "f2", "n", "id"), ["f1", "f2", "n"]).select("doc_id", "id")
     twins = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id")
-    same = bounded_join(ids, twins, ["doc_id"], "left_semi").filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    same = bounded_join(ids, stash(twins, "minhash-twins"), ["doc_id"], "left_semi").filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     component = stash(connected_components(links.union(same)), "minhash-components")
     member = nodes.select("f1", "f2", "n", "id").join(component.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", F.col("n"), F.coalesce("component", "id").alias("component"))
     out = prints.select("doc_id", "n", "f1", "f2").join(member, ["f1", "f2", "n"], "left")
@@ -239,4 +245,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id."""
     gone = near_duplicates(docs, id_col, text_col, percent=percent).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return bounded_join(docs, gone, [id_col], "left_anti")
+    return bounded_join(docs, stash(gone, "minhash-gone"), [id_col], "left_anti")
