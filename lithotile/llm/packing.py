@@ -76,11 +76,16 @@ def plan_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 16, budget: int = 16384) -> DataFrame:
-    """docs with pack_bucket, pack_length, pack_batch and pack_slot. Rows that repeat a doc_id get one place each."""
-    spare = Window.partitionBy(id_col).orderBy(n_words(F.col(f"row.{text_col}")))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col)).withColumn("_nth", F.row_number().over(spare))
+    """docs with pack_bucket, pack_length, pack_batch and pack_slot in place of columns of those names.
+
+    Rows that share a doc_id (or have none) and a length get one place each, any of theirs.
+    """
     plan = plan_batches(docs, id_col, text_col, buckets=buckets, budget=budget)
-    twin = Window.partitionBy("doc_id").orderBy("length", "bucket", "batch", "slot")
-    plan = plan.withColumn("_nth", F.row_number().over(twin)).withColumnRenamed("doc_id", "_id")
-    joined = rows.join(plan, rows[id_col].eqNullSafe(plan["_id"]) & (rows["_nth"] == plan["_nth"]))
-    return joined.select("row.*", F.col("bucket").alias("pack_bucket"), F.col("padded_length").alias("pack_length"), F.col("batch").alias("pack_batch"), F.col("slot").alias("pack_slot"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), n_words(F.col(text_col)).alias("_length"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_length").orderBy("_length")))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "length").orderBy("bucket", "batch", "slot"))
+    plan = plan.withColumn("nth", nth)
+    joined = rows.join(plan, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_length") == F.col("length")) & (F.col("_nth") == F.col("nth")))
+    out = {"pack_bucket": "bucket", "pack_length": "padded_length", "pack_batch": "batch", "pack_slot": "slot"}
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in out]
+    return joined.select(*kept, *[F.col(c).alias(k) for k, c in out.items()])

@@ -11,9 +11,10 @@ training row every score is 0; extra columns are ignored.
 
 from __future__ import annotations
 
+import collections
 import re
-import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,23 +44,26 @@ def train(texts: list[str], toxic: list[int], rounds: int = 400, rate: float = 0
     weights = np.zeros(DIMENSIONS, np.float32)
     y = np.array(toxic, bool)
     if not y.any() or y.all():
-        return weights, -20.0 if not y.any() else 0.0
+        return weights, -np.inf if not y.any() else 0.0
     vocabulary: dict[str, int] = {}
-    ids, sentence_ends, doc_ends = [], [], []
+    ids, sentence_ends, doc_ends, in_docs = array("i"), array("q"), array("q"), collections.Counter()
     for t in texts:
+        all_ = set()
         for m in SENTENCE.finditer(t.lower()):
             own = {vocabulary.setdefault(w, len(vocabulary)) for w in m[0].split()}
             if own:
                 ids.extend(own)
                 sentence_ends.append(len(ids))
+                all_ |= own
+        in_docs.update(all_)
         doc_ends.append(len(sentence_ends))
-    ids_, ends, docs = np.array(ids, np.int32), np.array(sentence_ends), np.array(doc_ends)
+    ids_, ends, docs = np.frombuffer(ids, np.int32), np.array(sentence_ends), np.array(doc_ends)
     n_sent = np.diff(docs, prepend=0)
-    sent_of, doc_of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)), np.repeat(np.arange(len(docs)), n_sent)
+    sent_of, doc_of = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0)), np.repeat(np.arange(len(docs)), n_sent)
     feats = [features(w) for w in vocabulary]
     word_of, feat = np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.array([f for x in feats for f in x], np.int32)
-    in_docs = np.bincount(np.unique(doc_of[sent_of].astype(np.int64) * len(vocabulary) + ids_) % len(vocabulary), minlength=len(vocabulary))
-    often = np.bincount(feat, weights=in_docs[word_of], minlength=DIMENSIONS) >= min_docs
+    docs_with = np.array([in_docs[k] for k in range(len(vocabulary))])
+    often = np.bincount(feat, weights=docs_with[word_of], minlength=DIMENSIONS) >= min_docs
     feat_live = often[feat]
     word_of, feat = word_of[feat_live], feat[feat_live]
     used, feat = np.unique(feat, return_inverse=True)
@@ -103,8 +107,8 @@ class _Weights(dict):
 def score_text(text: str, known: dict, bias: float) -> tuple[float, list[tuple[int, int, float]]]:
     """Noisy-or score and the offending sentences."""
     look, spans, zs = known.__getitem__, [], []
-    for m in SENTENCE.finditer(text.lower()):
-        words = m[0].split()
+    for m in SENTENCE.finditer(text):  # lower case may be longer, so places are those of the text itself
+        words = m[0].lower().split()
         if words:
             zs.append(sum(map(look, set(words))))
             spans.append(m.span())

@@ -387,3 +387,47 @@ def test_pivot_index_recall(spark):
         want[at] = (u[at] @ u[at].T >= 0.98).sum(axis=1) - 1
     assert want.sum() > 20_000 and len(got) == len(v) - 2
     assert sum(n for _, n in got) >= 0.95 * want[:-4].sum() and all(n <= want[i] for i, n in got if i < len(v) - 4)
+
+
+def test_offending_spans_are_of_the_text():
+    weights = np.zeros(toxicity.DIMENSIONS, np.float32)
+    weights[toxicity.features("idiot")] = 9
+    text = "İİİİ a b. you IDIOT. x"
+    (start, end, _), = toxicity.score_text(text, toxicity._Weights(weights), -5.0)[1]
+    assert text[start:end] == " you IDIOT"
+    assert toxicity.train(["a b", "c"], [0, 0])[1] == -np.inf and toxicity.score_text("a b", toxicity._Weights(weights), -np.inf) == (0.0, [])
+
+
+def test_noisy_or_gradient():
+    """The trained weights lie at a minimum of the brute-force noisy-or likelihood."""
+    texts, y = ["good day. bad word", "good word. fine day", "bad bad. good", "fine. good word"] * 3, [1, 0, 1, 0] * 3
+    weights, bias = toxicity.train(texts, y, rounds=3000, rate=0.02, l2=1e-2)
+
+    def loss(w: np.ndarray, b: float) -> float:
+        total = 0.0
+        for t, toxic in zip(texts, y, strict=True):
+            miss = 1.0
+            for s in t.split(". "):
+                z = sum(w[f] for x in set(s.split()) for f in toxicity.features(x)) + b
+                miss *= 1 - 1 / (1 + np.exp(-z))
+            total -= np.log(1 - miss if toxic else miss) / len(texts)
+        return total + 0.5e-2 * float((w**2).sum())
+
+    best = loss(weights, bias)
+    rng = np.random.default_rng(0)
+    used = np.flatnonzero(weights)
+    for _ in range(30):
+        moved = weights.copy()
+        moved[used] += rng.normal(scale=0.05, size=len(used)).astype(np.float32)
+        assert loss(moved, bias + rng.normal(scale=0.05)) >= best - 1e-4
+
+
+def test_pack_documents_values(spark):
+    """Clashing names, null and repeated ids, repeated rows: each row once, in a place of its own length's bucket."""
+    rows = [(1, "a b c", 7), (1, "a b c", 7), (1, "a", 8), (None, "x y", 9), (None, "x y", 9), (None, None, 1), (2, " ".join("w" * 50), 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pack_batch int").repartition(3)
+    got = packing.pack_documents(df, buckets=3, budget=8).collect()
+    assert df.columns[:2] == got[0].__fields__[:2] and len(set(got[0].__fields__)) == len(got[0].__fields__) == 6
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(r[:2] for r in rows)
+    assert len({(r.pack_bucket, r.pack_batch, r.pack_slot) for r in got}) == len(rows)
+    assert all(r.pack_length >= len((r.text or "").split()) and r.pack_slot < max(1, 8 // max(1, r.pack_length)) for r in got)
