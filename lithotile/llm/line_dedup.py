@@ -505,7 +505,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted[keys] = True
         asks = left.groupBy("b_doc").agg(F.collect_list(F.struct(F.col("b_line").alias("line"), F.col("ask").alias("key"))).alias("asks")).withColumnRenamed("b_doc", "doc_id")
         asked = bounded_join(texts, stash(asks, "lines-asking"), ["doc_id"], "left", bound).select("doc_id", "text", "asks")
-        finer = Order(counts, percent, parts, max(1, block_rows // 16))  # whole sets are larger than entries
+        finer = Order(counts, percent, parts, max(1, block_rows // 64))  # whole sets are larger than entries
         rows = asked.mapInArrow(_quests(finer, wanted), QUEST).repartition(parts, "part").sortWithinPartitions("key", "block", F.desc("ask"))
         sure = sure.union(stash(rows.mapInArrow(_answers(finer), "b_doc long, b_line int"), "line-answers"))
     return gone.union(sure).distinct().select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"))
