@@ -64,20 +64,27 @@ class Engine:
         return R.TOWNS.get(key).cell_params(resolution, zoom)
 
     def query_bbox(self, dataset: str, box: V.Box, zoom: int | None = None, limit: int | None = None) -> DataFrame:
-        return V.query_bbox(lake.scan_features(self.spark, R.DATASETS.get(dataset)), box, zoom, limit, self.tile_zoom)
+        tiles = lake.tile_range(V.check_box(box), self.tile_zoom, "p_")
+        return V.query_bbox(lake.scan_features(self.spark, R.DATASETS.get(dataset), tiles), box, zoom, limit)
 
     def query_h3(self, dataset: str, cell: str, resolution: int | None = None, zoom: int | None = None, limit: int | None = None) -> DataFrame:
-        return V.query_h3(lake.scan_features(self.spark, R.DATASETS.get(dataset)), cell, resolution, zoom, limit)
+        tiles = lake.cell_tiles(V.check_cell(cell), self.tile_zoom)
+        return V.query_h3(lake.scan_features(self.spark, R.DATASETS.get(dataset), tiles), cell, resolution, zoom, limit)
 
     def query_buildings(self, dataset: str, box: V.Box, zoom: int, **options) -> DataFrame:
         b = R.BUILDINGS.get(dataset)
         V.check_gate(zoom, b)
-        return V.query_buildings(lake.scan_buildings(self.spark, b), b, box, zoom, **options)
+        return V.query_buildings(self._buildings(b, box, options.get("mode", "cover")), b, box, zoom, **options)
 
     def building_stats(self, dataset: str, box: V.Box, zoom: int, **options) -> DataFrame:
         b = R.BUILDINGS.get(dataset)
         V.check_gate(zoom, b)
-        return V.building_stats(lake.scan_buildings(self.spark, b), b, box, zoom, **options)
+        return V.building_stats(self._buildings(b, box), b, box, zoom, **options)
+
+    def _buildings(self, b: R.BuildingDataset, box: V.Box, mode: str = "cover") -> DataFrame:
+        """Cells by their centre may hold centroids outside the box, so only a covering query prunes tiles."""
+        tiles = lake.tile_range(V.check_box(box), self.tile_zoom, "p_") if mode == "cover" else None
+        return lake.scan_buildings(self.spark, b, tiles=tiles)
 
     def read_tile(self, dataset: str, z: int, x: int, y: int) -> DataFrame:
         return lake.read_tile(self.spark, lake.lake_path(R.DATASETS.get(dataset)), z, x, y)

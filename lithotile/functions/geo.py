@@ -11,6 +11,7 @@ from . import zoom as Z
 
 EARTH_M = 6_371_000.0
 #: Web-Mercator zoom whose cells come nearest in size to each resolution of the hexagonal grid.
+MERCATOR_LAT = 85.0511287798066
 MERCATOR_ZOOM = {7: 14, 8: 16, 9: 17, 10: 18}
 
 
@@ -30,8 +31,10 @@ def cell(lat: Column, lng: Column, resolution: int) -> Column:
 
 
 def tile_of(lng: float, lat: float, zoom: int) -> tuple[int, int]:
-    r = math.radians(lat)
-    return math.floor((lng + 180.0) / 360.0 * (1 << zoom)), math.floor((1.0 - math.log(math.tan(r) + 1.0 / math.cos(r)) / math.pi) / 2.0 * (1 << zoom))
+    """Latitudes beyond the square of the projection count as its edge."""
+    n, r = 1 << zoom, math.radians(max(-MERCATOR_LAT, min(MERCATOR_LAT, lat)))
+    x, y = (lng + 180.0) / 360.0 * n, (1.0 - math.log(math.tan(r) + 1.0 / math.cos(r)) / math.pi) / 2.0 * n
+    return max(0, min(n - 1, math.floor(x))), max(0, min(n - 1, math.floor(y)))
 
 
 def cells_in_box(sw_lng: float, sw_lat: float, ne_lng: float, ne_lat: float, resolution: int, mode: str = "cover") -> list[str]:
@@ -48,6 +51,25 @@ def cells_in_box(sw_lng: float, sw_lat: float, ne_lng: float, ne_lat: float, res
     return out
 
 
+def cell_tile(cell_hex: str, zoom: int) -> tuple[int, int] | None:
+    """The tile that holds a cell, where the cell is no larger than a tile."""
+    if len(cell_hex) != 18 or (down := int(cell_hex[:2], 16) - zoom) < 0:
+        return None
+    return int(cell_hex[2:10], 16) >> down, int(cell_hex[10:], 16) >> down
+
+
+def centre_in_box(cell_hex: Column, sw_lng: float, sw_lat: float, ne_lng: float, ne_lat: float, resolution: int) -> Column:
+    """Whether a cell's centre lies in a box: two ranges of its fixed-width digits, however many cells there are."""
+    n = 1 << MERCATOR_ZOOM[resolution]
+    mercator = lambda lat: (1.0 - math.asinh(math.tan(math.radians(max(-MERCATOR_LAT, min(MERCATOR_LAT, lat))))) / math.pi) / 2.0 * n
+    x0, x1 = math.ceil((sw_lng + 180.0) / 360.0 * n - 0.5), math.floor((ne_lng + 180.0) / 360.0 * n - 0.5)
+    y0, y1 = math.ceil(mercator(ne_lat) - 0.5), math.floor(mercator(sw_lat) - 0.5)
+    digits = lambda v: f"{max(0, v):08x}"
+    if x1 < max(0, x0) or y1 < max(0, y0):
+        return F.lit(False)
+    return F.substring(cell_hex, 3, 8).between(digits(x0), digits(x1)) & F.substring(cell_hex, 11, 8).between(digits(y0), digits(y1))
+
+
 def cell_to_long(cell_hex: Column) -> Column:
     """The integer of a cell id of up to 15 hex digits after its zoom; ids of 18 digits keep x and y."""
     return F.conv(F.substring(cell_hex, -15, 15), 16, 10).cast("long")

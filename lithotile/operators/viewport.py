@@ -81,7 +81,7 @@ def in_box(box: Box, lat: str = "centroid_lat", lng: str = "centroid_lng") -> Co
 
 
 def query_bbox(features: DataFrame, box: Box, zoom: int | None = None, limit: int | None = None, tile_zoom: int | None = None) -> DataFrame:
-    """Features of a box by entropy bucket and importance. tile_zoom prunes a lake's partitions first."""
+    """Features of a box by entropy bucket and importance. tile_zoom adds a filter on the tile columns."""
     check_box(box), check_zoom(zoom), check_limit(limit)
     x = features.filter(tile_range(box, tile_zoom)) if tile_zoom is not None else features
     return top(_important(x.filter(in_box(box)), zoom), _limit(zoom, limit), F.asc_nulls_last("entropy_bucket"), F.desc_nulls_last("importance_byte"), F.asc("feature_id"))
@@ -116,9 +116,8 @@ def _in_view(buildings: DataFrame, dataset: BuildingDataset, box: Box, zoom: int
     if max(box[2] - box[0], box[3] - box[1]) > 0.5:
         log.warning("a wide building viewport: %s", box)
     if dataset.h3_enriched:
-        cells = geo.cells_in_box(*box, 9, mode)
-        x = buildings.filter(F.col("h3_9").isin(cells))
-        x = x.filter(in_box(box)) if mode == "cover" else x
+        # the cells that cover a box and then the box itself are the box; cells by their centre are two ranges of digits
+        x = buildings.filter(in_box(box) if mode == "cover" else geo.centre_in_box(F.col("h3_9"), *box, 9))
     else:
         x = buildings.filter(overlaps(box)).filter(dataset.quadkey_filter(quadkey))
     return x.filter(F.col("occupancy") == occupancy) if occupancy else x

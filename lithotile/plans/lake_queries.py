@@ -127,7 +127,8 @@ def _zooms(s: SparkSession, _: str) -> DataFrame:
 
 
 def _previous(f: DataFrame) -> DataFrame:
-    return M.cell_metrics(f.filter("cast(substring(feature_id, 6) as long) % 2 = 0")).select("h3_8", F.col("entropy_score").alias("old_entropy"), F.col("entropy_bucket").alias("old_bucket"))
+    """An earlier state of all features, in which types of one first letter were one type."""
+    return M.cell_metrics(f.withColumn("feature_type", F.substring("feature_type", 1, 1))).select("h3_8", F.col("entropy_score").alias("old_entropy"), F.col("entropy_bucket").alias("old_bucket"))
 
 
 def _hysteresis(s: SparkSession, d: str) -> DataFrame:
@@ -236,7 +237,7 @@ def _bbox_sql(least: int, limit: int) -> str:
     return f"{_F} SELECT feature_id, entropy_bucket, importance_byte FROM scored WHERE lng BETWEEN 36.70e0 AND 36.90e0 AND lat BETWEEN -1.40e0 AND -1.20e0 AND importance_byte >= {least} ORDER BY entropy_bucket, importance_byte DESC, feature_id LIMIT {limit}"
 
 
-_EVEN = _F + """, types2 AS (SELECT h3_8, feature_type, count(*) AS n FROM features WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), shares2 AS (SELECT h3_8, n * 1e0 / sum(n) OVER (PARTITION BY h3_8) AS p FROM types2),
+_OLD = _F + """, types2 AS (SELECT h3_8, substr(feature_type, 1, 1) AS feature_type, count(*) AS n FROM features GROUP BY 1, 2), shares2 AS (SELECT h3_8, n * 1e0 / sum(n) OVER (PARTITION BY h3_8) AS p FROM types2),
     old AS (SELECT h3_8, sum(-p * log2(p)) AS raw, CAST(least(floor(least(sum(-p * log2(p)) / log2(10), 1e0) * 10), 9) AS INTEGER) AS bucket FROM shares2 GROUP BY 1)"""
 _SEVEN = _F + """, types7 AS (SELECT h3_7, feature_type, count(*) AS n FROM features GROUP BY 1, 2), shares7 AS (SELECT h3_7, n * 1e0 / sum(n) OVER (PARTITION BY h3_7) AS p FROM types7),
     metrics7 AS (SELECT h3_7, round(sum(-p * log2(p)), 6) AS e, round(var_pop(p), 6) AS v FROM shares7 GROUP BY 1)"""
@@ -259,7 +260,7 @@ ORACLES = {
     "importance_bytes": f"{_F} SELECT feature_id, neighbours, importance_byte FROM scored",
     "cell_metrics_join": f"{_F} SELECT feature_id, entropy_bucket, entropy_score, cell_variance FROM scored",
     "adaptive_resolution": f"{_SEVEN} SELECT h3_7, CASE WHEN e > 2 OR v > 0.25 THEN 10 WHEN e > 1 THEN 9 ELSE 7 END AS resolution FROM metrics7",
-    "hysteresis": f"{_EVEN} SELECT n.h3_8, CASE WHEN abs(n.entropy_score - round(o.raw, 6)) < 0.2e0 THEN o.bucket ELSE n.entropy_bucket END AS bucket FROM bucketed n LEFT JOIN old o USING (h3_8)",
+    "hysteresis": f"{_OLD} SELECT n.h3_8, CASE WHEN abs(n.entropy_score - round(o.raw, 6)) < 0.2e0 THEN o.bucket ELSE n.entropy_bucket END AS bucket FROM bucketed n LEFT JOIN old o USING (h3_8)",
     "partition_run_id": f"{_F} SELECT feature_id, substr(sha256(h3_8 || ':{MINUTE}'), 1, 16) AS partition_run_id FROM features",
     "bbox_zoom9": _bbox_sql(80, 500),
     "bbox_zoom12": _bbox_sql(40, 2000),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics
 from ..sources import lake
 from ..sources.registry import BUILDINGS, DATASETS, BuildingDataset, Dataset
+from ..sources.shared import folder
 
 
 def resolve(key: str) -> Dataset | BuildingDataset:
@@ -23,17 +24,27 @@ def resolve(key: str) -> Dataset | BuildingDataset:
 def plan(source: DataFrame, dataset: Dataset | BuildingDataset, zoom: int = 10, now: datetime | None = None, **options) -> DataFrame:
     """The lake's rows, lazily: decode, cells, metrics, importance."""
     now = now or datetime.now(timezone.utc)
-    stage = metrics.stage_buildings if isinstance(dataset, BuildingDataset) else metrics.stage_features
     return metrics.enrich(stage(source, dataset, zoom), now.strftime("%Y%m%dT%H%M"), **options)
 
 
+def stage(source: DataFrame, dataset: Dataset | BuildingDataset, zoom: int = 10) -> DataFrame:
+    return (metrics.stage_buildings if isinstance(dataset, BuildingDataset) else metrics.stage_features)(source, dataset, zoom)
+
+
 def run(spark: SparkSession, key: str, source: DataFrame, root: str | None = None, zoom: int = 10, resolutions: tuple[int, ...] = (7, 8, 9, 10), now: datetime | None = None) -> dict:
-    """Write the lake and its manifest; returns the manifest. Geometry is decoded once: the manifest reads what was written."""
+    """Write the lake and its manifest; returns the manifest.
+
+    Geometry is decoded once: staged rows are written to the shared folder, and density, metrics and the range sampling of
+    the writer read them there; the manifest reads the lake.
+    """
     if not {7, 8, 9, 10} <= set(resolutions):
         raise ValueError("the lake stores resolutions 7 to 10")
     dataset = resolve(key)
     path = lake.lake_path(dataset, root)
-    lake.write_lake(plan(source, dataset, zoom, now), path)
+    now = now or datetime.now(timezone.utc)
+    staged = f"{folder(spark)}/staged"
+    stage(source, dataset, zoom).write.parquet(staged)
+    lake.write_lake(metrics.enrich(spark.read.parquet(staged), now.strftime("%Y%m%dT%H%M")), path)
     stats = lake.tile_stats(lake.scan_lake(spark, path))
     subdir = "buildings/" if isinstance(dataset, BuildingDataset) else ""
     return lake.write_manifest(stats, dataset.country, path, zoom, resolutions, subdir, now)

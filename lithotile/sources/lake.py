@@ -34,20 +34,20 @@ def locked(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in LOCKED])
 
 
-def scan_lake(spark: SparkSession, path: str) -> DataFrame:
-    """A lake's features. Tile directories are partitions, so tile and box predicates prune files."""
+def scan_lake(spark: SparkSession, path: str, tiles: Column | None = None) -> DataFrame:
+    """A lake's features. tiles is a predicate on the partition columns p_tile_z, p_tile_x and p_tile_y: it prunes directories."""
     found = spark.read.parquet(path)
-    return locked(found)
+    return locked(found if tiles is None else found.filter(tiles))
 
 
-def scan_features(spark: SparkSession, dataset: Dataset) -> DataFrame:
+def scan_features(spark: SparkSession, dataset: Dataset, tiles: Column | None = None) -> DataFrame:
     """The 26 columns of map features; the buildings below the same root are left out by their path."""
-    return scan_lake(spark, f"{dataset.base_path.rstrip('/')}/features").select(*OSM_COLUMNS)
+    return scan_lake(spark, f"{dataset.base_path.rstrip('/')}/features", tiles).select(*OSM_COLUMNS)
 
 
-def scan_buildings(spark: SparkSession, dataset: BuildingDataset, enriched: bool | None = None) -> DataFrame:
+def scan_buildings(spark: SparkSession, dataset: BuildingDataset, enriched: bool | None = None, tiles: Column | None = None) -> DataFrame:
     if dataset.h3_enriched if enriched is None else enriched:
-        return scan_lake(spark, dataset.enriched_path()).select(*BUILDING_COLUMNS)
+        return scan_lake(spark, dataset.enriched_path(), tiles).select(*BUILDING_COLUMNS)
     return spark.read.option("recursiveFileLookup", "true").parquet(dataset.base_path).select(*RAW_BUILDING_COLUMNS)
 
 
@@ -88,10 +88,20 @@ def list_views(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables() if t.isTemporary)
 
 
-def tile_range(box: tuple[float, float, float, float], zoom: int = 10) -> Column:
-    """The partitions that a box can touch."""
+def tile_range(box: tuple[float, float, float, float], zoom: int = 10, prefix: str = "") -> Column:
+    """The tiles that a box can touch; of another zoom all. Beyond the projection's edge rows are not pruned by y."""
     (x0, y1), (x1, y0) = geo.tile_of(box[0], box[1], zoom), geo.tile_of(box[2], box[3], zoom)
-    return F.col("tile_x").between(x0, x1) & F.col("tile_y").between(y0, y1)
+    z, x, y = (F.col(prefix + c) for c in TILE)
+    found = x.between(x0, x1)
+    if max(abs(box[1]), abs(box[3])) < geo.MERCATOR_LAT:
+        found = found & y.between(y0, y1)
+    return found if not prefix else (z != zoom) | found
+
+
+def cell_tiles(cell: str, zoom: int = 10) -> Column | None:
+    """The partition of a cell, where a tile holds it; lakes of another zoom are not pruned."""
+    at = geo.cell_tile(cell, zoom)
+    return None if at is None else (F.col("p_tile_z") != zoom) | ((F.col("p_tile_x") == at[0]) & (F.col("p_tile_y") == at[1]))
 
 
 def write_lake(features: DataFrame, path: str, max_records: int = 2_000_000) -> None:

@@ -12,6 +12,8 @@ def folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; below a local temporary one only where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lithotile-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lake-{uuid.uuid4().hex}"
