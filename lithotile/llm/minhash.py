@@ -153,9 +153,12 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -
     return out.astype(np.int64)
 
 
+STRAY, LYING, BOTH = 0, 1, 2
+
+
 def _cross(percent: int):
     def links(role: list, ids: list, comp: list, sets: list) -> list[tuple[int, int]]:
-        first, second = ([k for k in range(len(role)) if role[k] == r] for r in (0, 1))
+        first, second = ([k for k in range(len(role)) if role[k] in (r, BOTH)] for r in (STRAY, LYING))
         if not first or not second:
             return []
         label = np.array(comp)
@@ -208,9 +211,10 @@ def crossing_links(members: DataFrame, texts: DataFrame, percent: int, block: in
     open_ = stash(open_.filter("comps > 1").drop("comps"), "minhash-open-buckets")
     x = bounded_join(members, open_, bucket, "inner", bound)
     own, piece = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("pieces")).cast("int")
+    one = (F.col("blocks") == 1) & (F.col("pieces") == 1)  # all members meet at once
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    strays = x.filter("comp != major").select(*bucket, piece.alias("i"), upto("blocks").alias("j"), F.lit(0).alias("role"), "id", "comp")
-    lying = x.select(*bucket, upto("pieces").alias("i"), own.alias("j"), F.lit(1).alias("role"), "id", "comp")
+    strays = x.filter(~one & F.expr("comp != major")).select(*bucket, piece.alias("i"), upto("blocks").alias("j"), F.lit(STRAY).alias("role"), "id", "comp")
+    lying = x.select(*bucket, upto("pieces").alias("i"), own.alias("j"), F.when(one, BOTH).otherwise(LYING).alias("role"), "id", "comp")
     x = stash(strays.union(lying), "minhash-open")
     rows = bounded_join(texts.withColumnRenamed("doc_id", "id"), x, ["id"], "inner", bound).select(*bucket, "i", "j", "role", "id", "comp", "text")
     rows = rows.repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j")
