@@ -29,7 +29,7 @@ BLOCK = 1 << 21
 SEGMENT = 4 << 20
 END = 1
 #: Most streams in a block, which are coded in step, and the least ids that each has.
-LANES, LEAST = 2048, 256
+LANES, LEAST = 4096, 512
 #: Bits of the shares of orders 1 and 2, and of the order-2 table's index.
 BITS, SLOTS2 = 16, 17
 #: Most of the interval that guesses may take, of 2^BITS.
@@ -122,7 +122,7 @@ class _Model:
             self.counts += np.bincount(np.concatenate(self.seen), minlength=self.ids)
             self.seen.clear()
             self.draw()
-        if self.step % 8 == 0 or self.step < 16:
+        if self.step % 16 == 0 or self.step < 32:
             self.share()
 
 
@@ -214,18 +214,24 @@ def decode_block(block: bytes, n: int) -> np.ndarray:
     return alphabet[out.T.ravel()[:n]]
 
 
+def _even(n: int, block: int) -> int:
+    """The length of equal blocks of at most `block` ids, but for the last."""
+    return -(-n // -(-n // block)) if n else block
+
+
 def pack_segment(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, bytes, bytes]:
     """(bytes of each block, CRC-32 of each block's ids, payload) of a run of ids."""
-    parts = [ids[a : a + block].astype("<u4") for a in range(0, len(ids), block)]
+    each = _even(len(ids), block)
+    parts = [ids[a : a + each].astype("<u4") for a in range(0, len(ids), each)]
     coded = [encode_block(x) for x in parts]
     checks = np.array([zlib.crc32(x.tobytes()) for x in parts], "<u4")
     return np.array([len(w) for w in coded], "<u4").tobytes(), checks.tobytes(), b"".join(coded)
 
 
 def unpack_segment(sizes: bytes, checks: bytes, payload: bytes, n: int, block: int = BLOCK) -> np.ndarray:
-    parts, end = [], 0
+    parts, end, each = [], 0, _even(n, block)
     for i, (size, check) in enumerate(zip(np.frombuffer(sizes, "<u4").tolist(), np.frombuffer(checks, "<u4").tolist(), strict=True)):
-        ids = decode_block(payload[end : end + size], min(block, n - i * block)).astype("<u4")
+        ids = decode_block(payload[end : end + size], min(each, n - i * each)).astype("<u4")
         if zlib.crc32(ids.tobytes()) != check:
             raise ValueError(f"block {i} does not match its checksum")
         parts.append(ids)

@@ -39,8 +39,13 @@ class _Pieces(dict):
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            m = _PLAIN.fullmatch(piece) if self.encoder.plain else None
-            if m is None:
+            small, m = False, None
+            if self.encoder.plain:
+                small = piece.isalpha() and piece.islower()  # of ASCII
+                m = None if small else _PLAIN.fullmatch(piece)
+            if small:
+                ids = self.encoder.word(piece)
+            elif m is None:
                 ids = self.encoder.whole(piece)
             else:
                 word, marks = m.groups()
