@@ -1,7 +1,7 @@
 """Packing into optimal length buckets.
 
-A dynamic programme over the global histogram of lengths chooses the bucket boundaries of least padding, exactly, in
-integers; batches of a token budget then form inside each bucket in a seeded order.
+Lengths are in ids of a public tokenizer. A dynamic programme over the global histogram of lengths chooses the bucket
+boundaries of least padding, exactly, in integers; batches of a token budget then form inside each bucket in a seeded order.
 
 Defined results: null and empty texts have length 0 and share the first bucket; a text longer than the budget is a batch
 of its own; repeated rows are packed as rows of their own; an empty table gives an empty result; extra columns are ignored
@@ -11,11 +11,28 @@ or, in `pack_documents`, kept.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from .common import n_words, stash
+from .common import stash, text_bytes
+from .tokens import encoder, read_definition
+
+#: Pieces whose ids a worker remembers at least; twice as many at most.
+REMEMBERED = 200_000
+
+
+def n_tokens(text: Column, tokenizer: str | None = None) -> Column:
+    """Ids of each whole text by a tokenizer file (word_bpe_49k.json unless given); null counts as empty."""
+    definition = read_definition(tokenizer)
+
+    def count(texts: pa.Array) -> pa.Array:
+        own = encoder(definition, dtype="<u4", most=REMEMBERED)
+        return pa.array([len(own.encode(t)) // own.dtype.itemsize for t in text_bytes(texts)], pa.int64())
+
+    return F.arrow_udf(count, LongType())(text)
 
 
 def choose_boundaries(cells: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -55,10 +72,15 @@ def choose_boundaries(cells: list[int], counts: list[int], buckets: int) -> list
     return ends[::-1]
 
 
-def plan_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 16, budget: int = 16384, shards: int = 1024, seed: int = 23) -> DataFrame:
-    """doc_id, length, bucket, padded_length, batch (number within the bucket) and slot (place within the batch)."""
-    sized = stash(docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("length")), "pack-lengths")
-    # Different lengths: their number squared is less than 2 * (words + lengths), so 100 thousand at 5 * 10^9 words.
+def plan_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 16, budget: int = 16384, shards: int = 1024, seed: int = 23, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, length (in ids), bucket, padded_length, batch (number within the bucket) and slot (place within the batch)."""
+    sized = stash(docs.select(F.col(id_col).alias("doc_id"), n_tokens(F.col(text_col), tokenizer).alias("length")), "pack-lengths")
+    return batches_of(sized, buckets=buckets, budget=budget, shards=shards, seed=seed)
+
+
+def batches_of(sized: DataFrame, *, buckets: int = 16, budget: int = 16384, shards: int = 1024, seed: int = 23) -> DataFrame:
+    """plan_batches for a written table of doc_id and length."""
+    # Different lengths: their number squared is less than 2 * (ids + lengths), so 100 thousand at 5 * 10^9 ids.
     histogram = sorted((r.length, r.n) for r in sized.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
     ends = choose_boundaries([c for c, _ in histogram], [n for _, n in histogram], buckets) or [0]
     bounds = F.array(*[F.lit(x).cast("long") for x in ends])
@@ -75,13 +97,13 @@ def plan_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return x.select("doc_id", "length", "bucket", "padded_length", F.floor(place / room).cast("long").alias("batch"), F.pmod(place, room).cast("long").alias("slot"))
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 16, budget: int = 16384) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 16, budget: int = 16384, tokenizer: str | None = None) -> DataFrame:
     """docs with pack_bucket, pack_length, pack_batch and pack_slot in place of columns of those names.
 
     Rows that share a doc_id (or have none) and a length get one place each, any of theirs.
     """
-    plan = plan_batches(docs, id_col, text_col, buckets=buckets, budget=budget)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), n_words(F.col(text_col)).alias("_length"))
+    rows = stash(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), n_tokens(F.col(text_col), tokenizer).alias("_length")), "pack-rows")
+    plan = batches_of(rows.select(F.col("_id").alias("doc_id"), F.col("_length").alias("length")), buckets=buckets, budget=budget)
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_length").orderBy("_length")))
     nth = F.row_number().over(Window.partitionBy("doc_id", "length").orderBy("bucket", "batch", "slot"))
     plan = plan.withColumn("nth", nth)
