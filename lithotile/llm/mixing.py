@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Sainte-Lague apportionment (DataFrame functions only).
 
 Equal blocks of words go to the sources by highest quotients target / (2 seats + 1), then each source's blocks go to its
-shards in the same way, and a seeded choice of blocks follows within each shard. A divisor method's first seats can be
+shards in the same way. Within a shard rows lie in a seeded order and its blocks have seeded ranks, a permutation of their
+numbers; the blocks of the first ranks are chosen, as many as the quota leaves after whole passes. A divisor method's first seats can be
 given at once: seats of round(weight * (N - n) / total) are a prefix of the quotient order, round(weight * (N + n) / total)
 covers all N seats, so at most 3 n quotients are ever ranked, whatever the number of blocks.
 
 Defined results: null text has size 0 and takes nothing; a null source is a source of its own, ranked last; repeated rows
-are laid out as rows of their own; an empty table gives an empty mix; extra columns are ignored or, in `mix_documents`, kept.
+are laid out as rows of their own; the last block of a shard may be short and has the last rank; an empty table gives an empty mix; extra columns are ignored or, in `mix_documents`, kept.
 """
 
 from __future__ import annotations
@@ -55,12 +56,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return x.withColumn("target", F.when(F.col("level") * F.col("weight") >= F.col("limit"), F.col("limit")).otherwise(F.col("level") * F.col("weight"))).select("src", "source_size", "target")
 
 
+#: Primes near 2^31. A prime above the number of blocks has no factor in common with it, so that
+#: rank = number * prime + offset, modulo the number of blocks, is a permutation.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+
+
+def _block_rank(number: Column, blocks: Column, prime: Column, offset: Column) -> Column:
+    """The seeded rank of a block among its shard's blocks, fewer than 2^31; the last block, which may be short, comes last."""
+    others = F.greatest(F.lit(1), blocks - 1)
+    return F.when(number < blocks - 1, (number * (prime % others) + offset) % others).otherwise(blocks - 1)
+
+
 def _seeded(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 17, block: int = 16, shard_words: int = 1 << 16, max_shards: int = 4096, cap: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies (0 to cap: times that the choice covers the document's first word).
+    """doc_id, size, source_size, target, taken and copies (0 to cap: for a mix of whole documents).
 
     block: words in a block; shard_words: words for which a source gets another shard, up to max_shards.
     """
@@ -82,18 +94,24 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     laid = bounded_join(keyed, quotas, shard)
     along = Window.partitionBy(*shard).orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = laid.withColumn("start", F.sum("size").over(along) - F.col("size"))
+    blocks, some, size = F.col("blocks"), F.col("words") > 0, F.col("size")
+    laid = laid.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("words") / block)).cast("long"))
     want = F.least(F.col("quota") * block, F.col("words") * cap)
-    some = F.col("words") > 0
     laid = laid.withColumn("passes", F.when(some, F.floor(want / F.col("words"))).otherwise(0).cast("long"))
-    laid = laid.withColumn("rest", F.when(some, want - F.col("passes") * F.col("words")).otherwise(0))
-    first = F.when(some, F.pmod(_seeded(seed + 2, *[F.col(c) for c in shard]), F.when(some, F.col("words")))).otherwise(0)
-    laid = laid.withColumn("from", first).withColumn("to", F.col("from") + F.col("rest"))
-    end = F.col("start") + F.col("size")
-    overlap = lambda shift: F.greatest(F.lit(0), F.least(end + shift, F.col("to")) - F.greatest(F.col("start") + shift, F.col("from")))  # noqa: E731  the run of blocks may wrap round
+    laid = laid.withColumn("rest", F.when(some, F.round((want - F.col("passes") * F.col("words")) / block)).otherwise(0).cast("long"))
+    chance = lambda k: _seeded(seed + k, *[F.col(c) for c in shard])
+    laid = laid.withColumn("prime", F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (F.pmod(chance(3), F.lit(len(PRIMES))) + 1).cast("int")))
+    laid = laid.withColumn("offset", F.pmod(chance(4), F.greatest(F.lit(1), blocks - 1))).withColumn("end", F.col("start") + size)
+    first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("end") - 1) / block).cast("long")
+    words_in = lambda k: F.least(F.col("end"), (k + 1) * block) - F.greatest(F.col("start"), k * block)
+    chosen = lambda k: _block_rank(k, blocks, F.col("prime"), F.col("offset")) < F.col("rest")
+    taken = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda n, k: n + F.when(chosen(k), words_in(k)).otherwise(F.lit(0).cast("long")))
+    # Whole documents: those whose first word lies in one run of as many words, from a seeded place of the seeded order; it may wrap round.
+    run_from = F.when(some, F.pmod(chance(2), F.when(some, F.col("words")))).otherwise(0)
+    laid = laid.withColumn("from", run_from).withColumn("to", F.col("from") + F.least(F.col("rest") * block, F.col("words")))
     hit = lambda shift: ((F.col("start") + shift >= F.col("from")) & (F.col("start") + shift < F.col("to"))).cast("long")
-    size = F.col("size")
     return laid.select(
-        "doc_id", "size", "source_size", "target", (F.col("passes") * size + overlap(F.lit(0)) + overlap(F.col("words"))).cast("long").alias("taken"),
+        "doc_id", "size", "source_size", "target", F.when((size > 0) & (F.col("rest") > 0), F.col("passes") * size + taken).otherwise(F.col("passes") * size).cast("long").alias("taken"),
         F.when(size > 0, F.col("passes") + hit(F.lit(0)) + hit(F.col("words"))).otherwise(0).cast("long").alias("copies"),
     )
 

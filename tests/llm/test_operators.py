@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lithotile.llm import components, exact_dedup, line_dedup, minhash, mixing, packing, pivot_index, range_coder, secrets, separator_scan, toxicity
 
@@ -431,3 +432,42 @@ def test_pack_documents_values(spark):
     assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(r[:2] for r in rows)
     assert len({(r.pack_bucket, r.pack_batch, r.pack_slot) for r in got}) == len(rows)
     assert all(r.pack_length >= len((r.text or "").split()) and r.pack_slot < max(1, 8 // max(1, r.pack_length)) for r in got)
+
+
+def test_block_ranks(spark):
+    """Ranks are a permutation of a shard's blocks, the last one last, and spread over it; all numbers of blocks."""
+    sizes = [1, 2, 3, 4, 17, 257, 4096]
+    rows = [(n, k, p) for n in sizes for k in range(n) for p in mixing.PRIMES[:3]]
+    x = spark.createDataFrame(rows, "n long, k long, p long")
+    ranks = collections.defaultdict(list)
+    for r in x.select("n", "k", "p", mixing._block_rank(F.col("k"), F.col("n"), F.col("p"), F.lit(0)).alias("r")).orderBy("k").collect():
+        ranks[r.n, r.p].append(r.r)
+    for (n, _), got in ranks.items():
+        assert sorted(got) == list(range(n)) and got[-1] == n - 1
+    assert sum(abs(a - b) > 1 for a, b in zip(ranks[4096, mixing.PRIMES[1]], ranks[4096, mixing.PRIMES[1]][1:], strict=False)) > 4000
+
+
+def test_mixing_takes_blocks(spark):
+    """Words taken come near the targets in each source, and lie in blocks spread over the documents."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 120))), "abc"[int(rng.integers(0, 3))]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.plan_mix(docs, shard_words=900).collect()}
+    words = collections.Counter()
+    for i, t, s in rows:
+        words[s] += len(t.split())
+        assert 0 <= got[i].taken <= 3 * got[i]["size"]
+    for s in "abc":
+        mine = [got[i] for i, _, x in rows if x == s]
+        shards = -(-words[s] // 900)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 8 * shards + 16
+    partly = [r for r in got.values() if r["size"] and r.taken % r["size"]]
+    assert len(partly) > 100
+
+
+def test_packing_counts_ids(docs):
+    from lithotile.llm import tokens
+
+    whole = tokens.TextEncoder(tokens.read_definition())
+    want = {r[0]: len(whole.tokenizer.encode(r[1] or "", add_special_tokens=False).ids) for r in sample()}
+    assert all(r.length == want[r.doc_id] for r in packing.plan_batches(docs).collect())
