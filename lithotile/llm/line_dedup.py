@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded_join, hash_words, joined, mix64, slices, stash
+from .common import BROADCAST_BYTES, bounded_join, hash_words, joined, lean, mix64, slices, stash
 
 BUCKETS = 1 << 22
 #: Buckets in a row of counts, which travels as one array.
@@ -96,7 +96,7 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(texts: DataFrame) -> np.ndarray:
     """Occurrences of the words of each of BUCKETS hash buckets, over all documents: BUCKETS numbers whatever the corpus."""
-    rows = texts.select("text").mapInArrow(_count, "chunk int, lows binary").repartition(BUCKETS // CHUNK, "chunk").mapInArrow(_total, "chunk int, sums binary").toArrow()
+    rows = texts.select("text").mapInArrow(lean(_count), "chunk int, lows binary").repartition(BUCKETS // CHUNK, "chunk").mapInArrow(lean(_total), "chunk int, sums binary").toArrow()
     out = np.zeros(BUCKETS, np.int64)
     for chunk, sums in zip(rows["chunk"].to_pylist(), rows["sums"].to_pylist(), strict=True):
         out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(sums, np.int64)
@@ -402,7 +402,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int, bound: int) -> Dat
     """(b_doc, b_line) of the pairs whose sets reach the similarity."""
     both = pairs.select(F.col("a_doc").alias("doc"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line"))
     need = stash(both.groupBy("doc").agg(F.collect_set("line").alias("lines")).withColumnRenamed("doc", "doc_id"), "lines-needed")
-    sets = bounded_join(texts, need, ["doc_id"], "inner", bound).select("doc_id", "text", "lines").mapInArrow(_wanted, "doc long, line int, words array<long>")
+    sets = bounded_join(texts, need, ["doc_id"], "inner", bound).select("doc_id", "text", "lines").mapInArrow(lean(_wanted), "doc long, line int, words array<long>")
     sets = stash(sets, "line-sets")
     a = sets.select(F.col("doc").alias("a_doc"), F.col("line").alias("a_line"), F.col("words").alias("a_words"))
     b = sets.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("b_words"))
@@ -492,8 +492,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = word_counts(texts)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() * (100 - percent) / 100 * ENTRY_BYTES / part_bytes))
     order = Order(counts, percent, parts, block_rows)
-    rows = texts.mapInArrow(_entries(order), "part int, kind string, blob binary")
-    found = stash(rows.repartition(parts, "part").mapInArrow(_match(order, cap), FOUND), "line-candidates")
+    rows = texts.mapInArrow(lean(_entries(order)), "part int, kind string, blob binary")
+    found = stash(rows.repartition(parts, "part").mapInArrow(lean(_match(order, cap)), FOUND), "line-candidates")
     line = ["b_doc", "b_line"]
     gone = stash(found.filter("a_doc is null and ask is null").select(*line).distinct(), "lines-equal")
     pairs = stash(found.filter("a_doc is not null").drop("ask").distinct().join(gone, line, "left_anti"), "line-pairs")
@@ -506,8 +506,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         asks = left.groupBy("b_doc").agg(F.collect_list(F.struct(F.col("b_line").alias("line"), F.col("ask").alias("key"))).alias("asks")).withColumnRenamed("b_doc", "doc_id")
         asked = bounded_join(texts, stash(asks, "lines-asking"), ["doc_id"], "left", bound).select("doc_id", "text", "asks")
         finer = Order(counts, percent, parts, max(1, block_rows // 64))  # whole sets are larger than entries
-        rows = asked.mapInArrow(_quests(finer, wanted), QUEST).repartition(parts, "part").sortWithinPartitions("key", "block", F.desc("ask"))
-        sure = sure.union(stash(rows.mapInArrow(_answers(finer), "b_doc long, b_line int"), "line-answers"))
+        rows = asked.mapInArrow(lean(_quests(finer, wanted)), QUEST).repartition(parts, "part").sortWithinPartitions("key", "block", F.desc("ask"))
+        sure = sure.union(stash(rows.mapInArrow(lean(_answers(finer)), "b_doc long, b_line int"), "line-answers"))
     return gone.union(sure).distinct().select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded_join, hash_words, joined, mix64, slices, stash
+from .common import BROADCAST_BYTES, bounded_join, hash_words, joined, lean, mix64, slices, stash
 from .components import connected_components
 
 WORDS = 5
@@ -132,7 +132,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, salt_rows: int =
     centres = degree.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("id"))
     asked = stash(members.union(centres), "minhash-asked")
     rows = bounded_join(texts.withColumnRenamed("doc_id", "id"), asked, ["id"], "inner", bound).select("centre", "salt", "kind", "id", "text")
-    return rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind").mapInArrow(_check(percent), "a long, b long")
+    return rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind").mapInArrow(lean(_check(percent)), "a long, b long")
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -218,13 +218,13 @@ def crossing_links(members: DataFrame, texts: DataFrame, percent: int, block: in
     x = stash(strays.union(lying), "minhash-open")
     rows = bounded_join(texts.withColumnRenamed("doc_id", "id"), x, ["id"], "inner", bound).select(*bucket, "i", "j", "role", "id", "comp", "text")
     rows = rows.repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j")
-    return rows.mapInArrow(_cross(percent), "a long, b long").distinct()
+    return rows.mapInArrow(lean(_cross(percent)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept. Links: 100 * intersection >= percent * union."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = stash(texts.mapInArrow(_print, PRINT), "minhash-prints")
+    prints = stash(texts.mapInArrow(lean(_print), PRINT), "minhash-prints")
     some = prints.filter("n > 0 and doc_id is not null")
     nodes = stash(some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "minhash-nodes")
     buckets = nodes.select("id", "n", F.posexplode("bands").alias("band", "key"))

@@ -10,6 +10,8 @@ or, in `pack_documents`, kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from .common import stash, text_bytes
+from .common import give_back, stash, text_bytes
 from .tokens import encoder, read_definition
 
-#: Pieces whose ids a worker remembers at least; twice as many at most.
+#: Pieces whose ids a task remembers at least; twice as many at most.
 REMEMBERED = 200_000
 
 
@@ -28,9 +30,12 @@ def n_tokens(text: Column, tokenizer: str | None = None) -> Column:
     """Ids of each whole text by a tokenizer file (word_bpe_49k.json unless given); null counts as empty."""
     definition = read_definition(tokenizer)
 
-    def count(texts: pa.Array) -> pa.Array:
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(definition, dtype="<u4", most=REMEMBERED)
-        return pa.array([len(own.encode(t)) // own.dtype.itemsize for t in text_bytes(texts)], pa.int64())
+        for texts in batches:
+            yield pa.array([len(own.encode(t)) // own.dtype.itemsize for t in text_bytes(texts)], pa.int64())
+        own.forget()
+        give_back()
 
     return F.arrow_udf(count, LongType())(text)
 

@@ -77,6 +77,11 @@ class TextEncoder:
         self.plain = self.encode_many(plain) == [self.whole(w) for w in plain]
         self.pieces.clear()
 
+    def forget(self) -> None:
+        """Drop the remembered pieces; those met again are worked out again."""
+        self.pieces.old = {}
+        self.pieces.clear()
+
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
 

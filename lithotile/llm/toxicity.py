@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 DIMENSIONS = 1 << 20
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scorer(weights, bias), SCORE)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_scorer(weights, bias)), SCORE)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -172,4 +172,4 @@ def _keeper(weights: np.ndarray, bias: float, text_col: str):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that score one half or more. Each row goes by its own text, whatever its doc_id."""
-    return docs.mapInArrow(_keeper(*fit(docs, labels, id_col, text_col, **options), text_col), docs.schema)
+    return docs.mapInArrow(lean(_keeper(*fit(docs, labels, id_col, text_col, **options), text_col)), docs.schema)
