@@ -279,3 +279,16 @@ def meets_box_udf(box: tuple[float, float, float, float]):  # noqa: ANN201
         return wkb.map(one)
 
     return meets
+
+
+@F.pandas_udf(T.BinaryType())
+def box_to_wkb(xmin: pd.Series, ymin: pd.Series, xmax: pd.Series, ymax: pd.Series) -> pd.Series:
+    """Little-endian WKB of boxes: a polygon of one closed ring, or a point where the box has no extent."""
+    import struct
+
+    def one(a: float, b: float, c: float, d: float) -> bytes:
+        if a == c and b == d:
+            return struct.pack("<BI2d", 1, 1, a, b)
+        return struct.pack("<BIII10d", 1, 3, 1, 5, a, b, c, b, c, d, a, d, a, b)
+
+    return pd.Series([one(*v) for v in zip(xmin, ymin, xmax, ymax, strict=True)], dtype=object)

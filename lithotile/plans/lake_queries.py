@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, scoring, zoom as Z
+from ..functions import geo, scoring, wkb, zoom as Z
+from ..operators import exporters
 from ..operators import metrics as M
 from ..operators import viewport as V
 from ..session import ship
@@ -49,7 +50,8 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
         F.map_from_arrays(F.array(*map(F.lit, ("highway", "building", "amenity", "landuse", "population"))), F.array(F.when(p == "1", highway).otherwise(none), F.when(p == "2", building).otherwise(none), F.when(p == "3", amenity).otherwise(none), F.when(p == "4", F.lit("forest")).otherwise(none), F.when(k % 7 == 0, (k * 3).cast("string")).otherwise(none))),
         lambda _, v: v.isNotNull(),
     )
-    return o.select(F.concat(F.lit("node/"), F.col("o_orderkey").cast("string")).alias("feature_id"), tags.alias("tags"), F.when(k % 2 == 0, "kenya").otherwise("canary-islands").alias("country"), _lng("o_orderkey").alias("lng"), _lat("o_orderkey").alias("lat"))
+    area = F.when(p.isin("2", "3"), (k % 97) * 1000 + 50.0)
+    return o.select(F.concat(F.lit("node/"), F.col("o_orderkey").cast("string")).alias("feature_id"), tags.alias("tags"), area.alias("area_m2"), F.when(p == "5", "CIV").alias("occupancy"), F.when(k % 2 == 0, "kenya").otherwise("canary-islands").alias("country"), _lng("o_orderkey").alias("lng"), _lat("o_orderkey").alias("lat"))
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +60,7 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     x = tagged(spark, d).select(
         "feature_id", scoring.feature_type(t).alias("feature_type"), F.col("lat").alias("centroid_lat"), F.col("lng").alias("centroid_lng"), F.col("country").alias("country_code"),
         *[t[c].alias(c) for c in ("highway", "building", "amenity", "landuse")], scoring.try_int(t["population"]).alias("population"), scoring.road_class(t["highway"]).alias("road_class"),
-        F.lit(None).cast("string").alias("occupancy"), F.lit(None).cast("double").alias("area_m2"),
+        "occupancy", "area_m2",
     )
     return M.with_cells(x)
 
@@ -89,6 +91,22 @@ def cell_buildings(spark: SparkSession, d: str) -> DataFrame:
     return M.with_cells(x)
 
 
+def drawn(spark: SparkSession, d: str) -> DataFrame:
+    """part as raw building rows with their outline as WKB."""
+    b = F.col("bbox")
+    return buildings(spark, d).withColumns({"geometry": wkb.box_to_wkb(b["xmin"], b["ymin"], b["xmax"], b["ymax"]), "source": F.lit("OSM")})
+
+
+def staged_buildings(spark: SparkSession, d: str) -> DataFrame:
+    return M.stage_buildings(drawn(spark, d), KENYA)
+
+
+def staged_features(spark: SparkSession, d: str) -> DataFrame:
+    """orders as map features with point geometry, through the dataset's country and box filters."""
+    x = tagged(spark, d).withColumn("geom", wkb.box_to_wkb(F.col("lng"), F.col("lat"), F.col("lng"), F.col("lat")))
+    return M.stage_features(x, R.Dataset("KE", "", country_filter="kenya", bbox=BOX))
+
+
 def _r(*cols: str):  # noqa: ANN202
     return [F.round(c, 6).alias(c) for c in cols]
 
@@ -116,6 +134,46 @@ def _roundtrip(s: SparkSession, d: str) -> DataFrame:
     return back.groupBy(*lake.TILE).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("importance_byte").cast("long")).alias("importance"))
 
 
+def _manifest(s: SparkSession, d: str) -> DataFrame:
+    """The manifest of the tiles, written and read again."""
+    from ..sources.shared import folder
+
+    path = f"{folder(s)}/manifest"
+    lake.write_manifest(_stats(s, d), "KE", path, 12, M.RESOLUTIONS)
+    rows = [(t["z"], t["x"], t["y"], t["featureCount"], t["compressedSizeBytes"], t["fetchPriority"], t["parquetUrl"]) for t in lake.read_manifest(s, path)["tileKeys"]]
+    return s.createDataFrame(rows, "tile_z int, tile_x int, tile_y int, feature_count long, size_bytes long, fetch_priority string, url string")
+
+
+def _exported(s: SparkSession, d: str) -> DataFrame:
+    """Flat rows of nested cell records, written with validation and read again."""
+    from ..sources.shared import folder
+
+    path = f"{folder(s)}/cells"
+    nested = _read(s, d, "part").select(
+        F.col("p_partkey").cast("string").alias("cellId"), F.lit(9).alias("resolution"), F.struct(_lat("p_partkey").alias("lat"), _lng("p_partkey").alias("lng")).alias("center"),
+        F.when(F.col("p_partkey") % 3 != 0, F.create_map(F.lit("size"), F.col("p_size"))).alias("properties"),
+    )
+    exporters.export(exporters.flat_cells(nested), path)
+    return s.read.parquet(path).select("cellId", "resolution", *_r("lat", "lng"), "properties")
+
+
+def _shapes(s: SparkSession, d: str) -> DataFrame:
+    x = drawn(s, d).withColumn("s", wkb.shape_udf(32637)(F.col("geometry")))
+    return x.select("id", *[F.round(F.col("s")[c], 6).alias(c) for c in ("lng", "lat", "xmin", "ymin", "xmax", "ymax")], F.round("s.area_m2", 1).alias("area_m2"), F.round("s.perimeter_m", 2).alias("perimeter_m"))
+
+
+def _encode_features(s: SparkSession, d: str) -> DataFrame:
+    get = lambda p: F.get_json_object("properties", p)
+    x = V.encode_features(lake.locked(scored(s, d)))
+    return x.select("type", get("$.feature_id").alias("feature_id"), get("$.importance_byte").cast("int").alias("importance_byte"), F.round(F.get_json_object("geometry", "$.coordinates[0]").cast("double"), 6).alias("lng"), F.round(F.get_json_object("geometry", "$.coordinates[1]").cast("double"), 6).alias("lat"))
+
+
+def _encode_buildings(s: SparkSession, d: str) -> DataFrame:
+    get, at = lambda p: F.get_json_object("properties", p), lambda p: F.get_json_object("geometry", p)
+    x = V.encode_buildings(staged_buildings(s, d))
+    return x.select(get("$.id").alias("id"), at("$.type").alias("geometry_type"), F.round(at("$.coordinates[0][2][0]").cast("double"), 6).alias("lng"), F.round(at("$.coordinates[0][2][1]").cast("double"), 6).alias("lat"), F.round(get("$.height_m").cast("double"), 6).alias("height_m"), get("$.source").alias("source"))
+
+
 def _nearest(s: SparkSession, d: str) -> DataFrame:
     km = geo.haversine_m(F.col("centroid_lat"), F.col("centroid_lng"), F.lit(-1.2921), F.lit(36.8219))
     return V.top(features(s, d).select("feature_id", F.round(km, 3).alias("meters")), 20, F.asc("meters"), F.asc("feature_id"))
@@ -186,6 +244,14 @@ _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bbox_area": lambda s, _: _towns_boxes(s).select("key", F.round(geo.bbox_area_km2(F.col("sw_lng"), F.col("sw_lat"), F.col("ne_lng"), F.col("ne_lat")), 6).alias("area_km2")),
     "features_and_buildings": lambda s, d: lake.locked(features(s, d)).unionByName(lake.locked(cell_buildings(s, d).withColumn("feature_type", F.lit("building")))).groupBy("feature_type").agg(F.count(F.lit(1)).alias("n")),
     "lake_roundtrip": _roundtrip,
+    "manifest_entries": _manifest,
+    "flat_cells_export": _exported,
+    "wkb_shapes": _shapes,
+    "wkb_in_box": lambda s, d: drawn(s, d).filter(wkb.meets_box_udf(BOX)(F.col("geometry"))).select("id"),
+    "stage_features": lambda s, d: staged_features(s, d).select("feature_id", "feature_type", "country_code", *_r("centroid_lng", "centroid_lat"), *lake.TILE, "compressed_size_bytes"),
+    "stage_buildings": lambda s, d: staged_buildings(s, d).select("feature_id", "source_provider", *_r("height_m", "height_floors"), F.round("area_m2", 1).alias("area_m2"), F.round("perimeter_m", 2).alias("perimeter_m"), *lake.TILE, "compressed_size_bytes"),
+    "geojson_features": _encode_features,
+    "geojson_enriched": _encode_buildings,
 }
 QUERIES = {k: (lambda s, d, f=f: f(ship(s), d)) for k, f in _RUN.items()}
 
@@ -195,7 +261,8 @@ _FEATURES = """
         CASE WHEN o_orderpriority[1] = '1' THEN (['motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'track'])[o_custkey % 6 + 1] END AS highway,
         CASE WHEN o_orderpriority[1] = '2' THEN (['residential', 'commercial', 'Mall', ''])[o_custkey % 4 + 1] END AS building,
         CASE WHEN o_orderpriority[1] = '3' THEN (['hospital', 'university', 'cafe'])[o_custkey % 3 + 1] END AS amenity,
-        CASE WHEN o_orderpriority[1] = '4' THEN 'forest' END AS landuse, CASE WHEN o_custkey % 7 = 0 THEN CAST(o_custkey * 3 AS INTEGER) END AS population FROM orders),
+        CASE WHEN o_orderpriority[1] = '4' THEN 'forest' END AS landuse, CASE WHEN o_custkey % 7 = 0 THEN CAST(o_custkey * 3 AS INTEGER) END AS population,
+        CASE WHEN o_orderpriority[1] IN ('2', '3') THEN o_custkey % 97 * 1000 + 50e0 ELSE 500e0 END AS area, CASE WHEN o_orderpriority[1] = '5' THEN 'CIV' END AS occupancy FROM orders),
     features AS (SELECT *, CASE WHEN highway IS NOT NULL THEN 'road' WHEN building IS NOT NULL THEN 'building' WHEN amenity IS NOT NULL THEN 'amenity' WHEN landuse IS NOT NULL THEN 'landuse' ELSE 'unknown' END AS feature_type,
         CASE highway WHEN 'motorway' THEN 1 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 3 WHEN 'secondary' THEN 4 WHEN 'tertiary' THEN 5 ELSE 6 END AS road_class, {cells} FROM tagged),
     types AS (SELECT h3_8, feature_type, count(*) AS n FROM features GROUP BY 1, 2),
@@ -203,8 +270,8 @@ _FEATURES = """
     metrics AS (SELECT h3_8, sum(-p * log2(p)) AS raw, round(0e0 - sum(p * log2(p)) + 0e0, 6) AS entropy_score, round(var_pop(p), 6) AS cell_variance FROM shares GROUP BY 1),
     bucketed AS (SELECT h3_8, CASE WHEN abs(raw) < 1e-9 THEN 0e0 ELSE entropy_score END AS entropy_score, cell_variance, CAST(least(floor(least(raw / log2(10), 1e0) * 10), 9) AS INTEGER) AS entropy_bucket FROM metrics),
     density AS (SELECT h3_9, count(*) AS n FROM features GROUP BY 1),
-    weighted AS (SELECT f.*, greatest(0, d.n - 1) AS neighbours, lower(coalesce(nullif(building, ''), nullif(amenity, ''), '')) AS tag FROM features f JOIN density d USING (h3_9)),
-    scored AS (SELECT *, CAST(round_even((0.4e0 * least(1e0, log10(2e0) / 2) + 0.5e0 * CASE tag WHEN 'hospital' THEN 0.9e0 WHEN 'university' THEN 0.9e0 WHEN 'mall' THEN 0.6e0 WHEN 'commercial' THEN 0.6e0 WHEN 'residential' THEN 0.3e0 ELSE 0.1e0 END
+    weighted AS (SELECT f.*, greatest(0, d.n - 1) AS neighbours, lower(coalesce(nullif(building, ''), nullif(amenity, ''), occupancy, '')) AS tag FROM features f JOIN density d USING (h3_9)),
+    scored AS (SELECT *, CAST(round_even((0.4e0 * least(1e0, log10(area / 500e0 + 1e0) / 2) + 0.5e0 * CASE tag WHEN 'hospital' THEN 0.9e0 WHEN 'university' THEN 0.9e0 WHEN 'mall' THEN 0.6e0 WHEN 'commercial' THEN 0.6e0 WHEN 'civ' THEN 0.7e0 WHEN 'residential' THEN 0.3e0 ELSE 0.1e0 END
         + 0.1e0 / (1 + neighbours) + 0.2e0 * exp(-10e0)) * 127, 0) AS INTEGER) AS importance_byte FROM weighted JOIN bucketed USING (h3_8))
 """
 
@@ -233,6 +300,22 @@ _T = "WITH towns(key, lat, lng, lat_extent, lng_extent, dataset_key) AS (VALUES
 _BOXES = "boxes AS (SELECT key, lng - lng_extent AS sw_lng, lat - lat_extent AS sw_lat, lng + lng_extent AS ne_lng, lat + lat_extent AS ne_lat FROM towns)"
 
 
+#: Outlines in UTM zone 37 by the series of Snyder (1987), which is not the one that the code uses; area by the shoelace sum.
+_UTM = _B + """, corners AS (SELECT id, k, radians(CASE WHEN k IN (0, 3) THEN xmin ELSE xmax END - 39e0) AS lam, radians(CASE WHEN k < 2 THEN ymin ELSE ymax END) AS phi FROM shaped, range(4) t(k)),
+    ellipsoid AS (SELECT 6378137e0 AS a, 0.0066943799901413165e0 AS e2, 0.0067394967422764341e0 AS q),
+    terms AS (SELECT *, a / sqrt(1 - e2 * sin(phi) ** 2) AS n, tan(phi) ** 2 AS t, q * cos(phi) ** 2 AS c, lam * cos(phi) AS l,
+        a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * phi - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * phi) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * phi) - 35 * e2 ** 3 / 3072 * sin(6 * phi)) AS m FROM corners, ellipsoid),
+    plane AS (SELECT id, k, 0.9996e0 * n * (l + (1 - t + c) * l ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * q) * l ** 5 / 120) AS x,
+        0.9996e0 * (m + n * tan(phi) * (l ** 2 / 2 + (5 - t + 9 * c + 4 * c * c) * l ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * q) * l ** 6 / 720)) AS y FROM terms),
+    sides AS (SELECT p.id, p.x - o.x AS x, p.y - o.y AS y, r.x - o.x AS x2, r.y - o.y AS y2 FROM plane p JOIN plane r ON r.id = p.id AND r.k = (p.k + 1) % 4 JOIN plane o ON o.id = p.id AND o.k = 0),
+    outlines AS (SELECT id, abs(sum(x * y2 - x2 * y)) / 2 AS utm_area, sum(sqrt((x2 - x) ** 2 + (y2 - y) ** 2)) AS perimeter FROM sides GROUP BY id)"""
+_KE = "(quadkey LIKE '1223%' OR quadkey LIKE '1232%' OR quadkey LIKE '1233%')"
+
+
+def _tile10(lng: str, lat: str) -> str:
+    return f"10 AS tile_z, CAST(floor(({lng} + 180e0) / 360e0 * 1024) AS INTEGER) AS tile_x, CAST(floor((1e0 - ln(tan(radians({lat})) + 1e0 / cos(radians({lat}))) / pi()) / 2e0 * 1024) AS INTEGER) AS tile_y"
+
+
 def _bbox_sql(least: int, limit: int) -> str:
     return f"{_F} SELECT feature_id, entropy_bucket, importance_byte FROM scored WHERE lng BETWEEN 36.70e0 AND 36.90e0 AND lat BETWEEN -1.40e0 AND -1.20e0 AND importance_byte >= {least} ORDER BY entropy_bucket, importance_byte DESC, feature_id LIMIT {limit}"
 
@@ -286,4 +369,12 @@ ORACLES = {
     "bbox_area": f"{_T}, {_BOXES} SELECT key, round((ne_lng - sw_lng) * 111320e0 * cos(radians((sw_lat + ne_lat) / 2)) * (ne_lat - sw_lat) * 110574e0 / 1e6, 6) AS area_km2 FROM boxes",
     "features_and_buildings": f"{_F} SELECT feature_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT feature_type, count(*) AS n FROM features GROUP BY 1 UNION ALL SELECT 'building', count(*) FROM part) GROUP BY 1",
     "lake_roundtrip": f"{_F} SELECT tile_z, tile_x, tile_y, count(*) AS n, CAST(sum(importance_byte) AS BIGINT) AS importance FROM scored GROUP BY 1, 2, 3",
+    "manifest_entries": f"{_F}{_STATS} SELECT tile_z, tile_x, tile_y, feature_count, size_bytes, CASE WHEN entropy > 1.5 AND size_bytes > 50000 THEN 'immediate' WHEN size_bytes < 5000 THEN 'defer' ELSE 'background' END AS fetch_priority, printf('ke/z%d/%d/%d.parquet', tile_z, tile_x, tile_y) AS url FROM tiles",
+    "flat_cells_export": "SELECT CAST(p_partkey AS VARCHAR) AS cellId, 9 AS resolution, round(((p_partkey * 104729) % 30011) / 1e5 - 1.45e0, 6) AS lat, round(((p_partkey * 7919) % 30011) / 1e5 + 36.65e0, 6) AS lng, CASE WHEN p_partkey % 3 <> 0 THEN printf('{\"size\":%d}', p_size) ELSE '{}' END AS properties FROM part",
+    "wkb_shapes": f"{_UTM} SELECT id, round(lng, 6) AS lng, round(lat, 6) AS lat, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax, round(utm_area, 1) AS area_m2, round(perimeter, 2) AS perimeter_m FROM shaped JOIN outlines USING (id)",
+    "wkb_in_box": f"{_B} SELECT id FROM shaped WHERE xmin <= 36.90e0 AND xmax >= 36.70e0 AND ymin <= -1.20e0 AND ymax >= -1.40e0",
+    "stage_features": f"{_F} SELECT feature_id, feature_type, country AS country_code, round(lng, 6) AS centroid_lng, round(lat, 6) AS centroid_lat, tile_z, tile_x, tile_y, CAST(21 AS BIGINT) AS compressed_size_bytes FROM features WHERE country = 'kenya' AND lng BETWEEN 36.70e0 AND 36.90e0 AND lat BETWEEN -1.40e0 AND -1.20e0",
+    "stage_buildings": f"{_UTM} SELECT 'building/' || id AS feature_id, 'OSM' AS source_provider, round(height_m, 6) AS height_m, round(height_floors, 6) AS height_floors, round(utm_area, 1) AS area_m2, round(perimeter, 2) AS perimeter_m, {_tile10('lng', 'lat')}, CAST(93 AS BIGINT) AS compressed_size_bytes FROM shaped JOIN outlines USING (id) WHERE {_KE}",
+    "geojson_features": f"{_F} SELECT 'Feature' AS type, feature_id, importance_byte, round(lng, 6) AS lng, round(lat, 6) AS lat FROM scored",
+    "geojson_enriched": f"{_B} SELECT 'building/' || id AS id, 'Polygon' AS geometry_type, round(xmax, 6) AS lng, round(ymax, 6) AS lat, round(height_m, 6) AS height_m, 'OSM' AS source FROM shaped WHERE {_KE}",
 }
