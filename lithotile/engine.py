@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import asdict
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import zoom as Z
@@ -87,7 +88,14 @@ class Engine:
         return lake.scan_buildings(self.spark, b, tiles=tiles)
 
     def read_tile(self, dataset: str, z: int, x: int, y: int) -> DataFrame:
-        return lake.read_tile(self.spark, lake.lake_path(R.DATASETS.get(dataset)), z, x, y)
+        """The rows of a tile; a tile that the lake does not hold is not found."""
+        rows = lake.read_tile(self.spark, lake.lake_path(R.DATASETS.get(dataset)), z, x, y)
+        if rows.isEmpty():
+            raise V.QueryError(f"the lake of {dataset} has no tile {z}/{x}/{y}", "NOT_FOUND", dataset=dataset, z=z, x=x, y=y)
+        return rows
 
     def read_manifest(self, dataset: str) -> dict:
-        return lake.read_manifest(self.spark, lake.lake_path(R.DATASETS.get(dataset)))
+        try:
+            return lake.read_manifest(self.spark, lake.lake_path(R.DATASETS.get(dataset)))
+        except AnalysisException as e:
+            raise V.QueryError(f"the lake of {dataset} has no manifest", "NOT_FOUND", dataset=dataset) from e

@@ -1,4 +1,4 @@
-"""Command line: python -m lithotile.partition --dataset KEY --source PATH [--output ROOT] [--zoom N] [--dry-run]."""
+"""Command line: python -m lithotile.partition --dataset KEY (--source PATH | --table NAME) [--output ROOT] [--zoom N] [--dry-run]."""
 
 from __future__ import annotations
 
@@ -11,7 +11,9 @@ from .session import local_session
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--dataset", required=True)
-    p.add_argument("--source", required=True, help="Parquet path of the source rows")
+    rows = p.add_mutually_exclusive_group(required=True)
+    rows.add_argument("--source", help="Parquet path of the source rows")
+    rows.add_argument("--table", help="table or view of the session's catalog that holds them")
     p.add_argument("--output")
     p.add_argument("--zoom", type=int, default=10)
     p.add_argument("--h3-resolutions", type=int, nargs="+", default=[7, 8, 9, 10])
@@ -22,7 +24,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.dry_run:
             return 0
         spark = local_session()
-        m = pipeline.run(spark, a.dataset, spark.read.parquet(a.source), a.output, a.zoom, tuple(a.h3_resolutions))
+        m = pipeline.run(spark, a.dataset, spark.read.parquet(a.source) if a.source else spark.table(a.table), a.output, a.zoom, tuple(a.h3_resolutions))
     except ValueError as e:
         print(e)
         return 1

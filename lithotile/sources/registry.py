@@ -193,6 +193,26 @@ def register_town(key: str, town: Town, on_conflict: str = "skip") -> bool:
     return True
 
 
+def import_towns(spark: SparkSession, path: str, dataset_key: str | None, country_code: str, on_conflict: str = "skip") -> dict[str, str]:
+    """Register the towns of a CSV file with the header name,lat,lng,lat_extent,lng_extent; both extents may be empty.
+
+    Coordinates are rounded to 6 digits and extents default as for listed towns. Gives for each key: added, kept (the key was
+    there) or the error, which does not stop the others. A town list is for people to choose from, so it fits the driver.
+    """
+    out = {}
+    for r in spark.read.csv(path, "name string, lat double, lng double, lat_extent double, lng_extent double", header=True).collect():
+        key = slug(r.name or "")
+        try:
+            if not key or r.lat is None or r.lng is None:
+                raise ValueError("a town needs a name, a latitude and a longitude")
+            a, b = EXTENTS.get(r.name, (0.08, 0.10))
+            town = Town(r.name, round(r.lat, 6), round(r.lng, 6), a if r.lat_extent is None else r.lat_extent, b if r.lng_extent is None else r.lng_extent, dataset_key, country_code)
+            out[key] = "added" if register_town(key, town, on_conflict) else "kept"
+        except ValueError as e:
+            out[key] = str(e)
+    return out
+
+
 def _fill() -> None:
     env = os.environ.get
     DATASETS.register("canary", Dataset("ES", env("LITHOTILE_DATASET_CANARY", f"{lake_root()}/es/"), country_filter="canary-islands"))

@@ -149,6 +149,40 @@ def test_engine_documents(engine):
         assert set(e.value.envelope()["error"]) == {"code", "message", "details"}
 
 
+def test_engine_not_found(engine, tmp_path, monkeypatch):
+    from lithotile.operators.viewport import QueryError
+
+    with pytest.raises(QueryError) as e:
+        engine.read_tile("kenya", 10, 0, 0)
+    assert e.value.code == "NOT_FOUND" and e.value.details["z"] == 10
+    monkeypatch.setenv("LITHOTILE_LAKE_ROOT", str(tmp_path))
+    with pytest.raises(QueryError) as e:
+        engine.read_manifest("kenya")
+    assert e.value.code == "NOT_FOUND"
+
+
+def test_import_towns(spark, tmp_path):
+    from lithotile.sources import registry as R
+
+    (tmp_path / "towns.csv").write_text("name,lat,lng,lat_extent,lng_extent\nNew Ford,1.23456789,36.5,,\nWide,0,36,9,9\nNairobi,5,5,,\n,1,1,,\nNo Place,,,,\n")
+    got = R.import_towns(spark, str(tmp_path / "towns.csv"), "kenya", "KE")
+    try:
+        assert got["new-ford"] == "added" and got["nairobi"] == "kept" and "wider" in got["wide"] and "needs" in got[""] and "needs" in got["no-place"]
+        t = R.TOWNS.get("new-ford")
+        assert (t.lat, t.lng, t.lat_extent, t.lng_extent, t.dataset_key) == (1.234568, 36.5, 0.08, 0.10, "kenya") and "wide" not in R.TOWNS and R.TOWNS.get("nairobi").lat != 5
+    finally:
+        R.TOWNS._items.pop("new-ford", None)
+
+
+def test_command_line_reads_tables(spark, tmp_path):
+    from lithotile import partition
+
+    spark.createDataFrame([("node/1", {"highway": "track"}, _point(36.8, -1.3), "kenya")], "feature_id string, tags map<string,string>, geometry binary, country string").createOrReplaceTempView("source_rows")
+    assert partition.main(["--dataset", "kenya", "--table", "source_rows", "--output", str(tmp_path)]) == 0
+    with pytest.raises(SystemExit):
+        partition.main(["--dataset", "kenya"])
+
+
 def test_batch_plan_decodes_once(spark, tmp_path, monkeypatch):
     """Every job of the batch plan but the staging one reads written rows: no Python in their plans."""
     plans = []
