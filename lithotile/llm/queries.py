@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import exact_dedup, line_dedup, minhash, mixing, packing, pivot_index, range_coder, secrets, separator_scan, toxicity
+from . import exact_dedup, line_dedup, minhash, mixing, packing, pair_index, pivot_index, range_coder, repair, secrets, separator_scan, toxicity, tput
 from .common import documents
 
 
@@ -53,6 +53,20 @@ def _op10(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def _op11(spark: SparkSession, d: str) -> DataFrame:
+    return tput.search(spark.read.parquet(f"{d}/benchmark.parquet"), documents(spark, d))
+
+
+def _op12(spark: SparkSession, d: str) -> DataFrame:
+    return repair.repaired_digests(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+def _op13(spark: SparkSession, d: str) -> DataFrame:
+    x = pair_index.decode(pair_index.encode(documents(spark, d)))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return x.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("text").alias("decoded_sha256"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: f(ship(spark), d)
 
@@ -62,6 +76,7 @@ QUERIES = {
     for name, f in {
         "op1_mixing": _op1, "op2_toxicity": _op2, "op3_exact_dedup": _op3, "op4_embedding_dedup": _op4, "op5_token_counts": _op5,
         "op6_secrets": _op6, "op7_packing": _op7, "op8_minhash": _op8, "op9_token_ids": _op9, "op10_line_dedup": _op10,
+        "op11_tput": _op11, "op12_repair": _op12, "op13_bpe": _op13,
     }.items()
 }
 
@@ -100,4 +115,19 @@ ORACLES = {
         {_COMPONENTS}
         SELECT id AS doc_id, n AS n_shingles, component_id, id = component_id AS kept FROM nodes JOIN comp ON node = id
     """,
+    "op11_tput": r"""
+        WITH counted AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM (
+                 SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                 FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)) GROUP BY row, term),
+        sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM counted GROUP BY row),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+        weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, total GROUP BY term, docs),
+        asked AS (SELECT item_id, term, count(*) AS q FROM (
+                 SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                 FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+        scored AS (SELECT item_id, row, any_value(doc_id) AS doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+                   FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN sizes USING (row), total GROUP BY item_id, row),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, row) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
