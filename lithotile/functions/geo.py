@@ -1,4 +1,4 @@
-"""Geographic functions on columns: tiles, cells, distances and areas. No UDF, so filters and projections stay in codegen."""
+"""Geographic functions on columns: tiles, distances and areas. No UDF but for geodesics, so filters and projections stay in codegen."""
 
 from __future__ import annotations
 
@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from . import zoom as Z
 
 EARTH_M = 6_371_000.0
-#: Web-Mercator zoom whose cells come nearest in size to each resolution of the hexagonal grid.
+#: Latitude of the upper edge of the Web-Mercator square.
 MERCATOR_LAT = 85.0511287798066
-MERCATOR_ZOOM = {7: 14, 8: 16, 9: 17, 10: 18}
 
 
 def tile_x(lng: Column, zoom: int) -> Column:
@@ -24,12 +23,6 @@ def tile_y(lat: Column, zoom: int) -> Column:
     return F.floor((1.0 - F.ln(F.tan(r) + 1.0 / F.cos(r)) / math.pi) / 2.0 * float(1 << zoom)).cast("int")
 
 
-def cell(lat: Column, lng: Column, resolution: int) -> Column:
-    """Id of the Web-Mercator cell that stands for a resolution: fixed-width hex of zoom, x and y. It is not an H3 index."""
-    z = MERCATOR_ZOOM[resolution]
-    return F.when(lat.isNotNull() & lng.isNotNull(), F.format_string("%02x%08x%08x", F.lit(z), tile_x(lng, z), tile_y(lat, z)))
-
-
 def tile_of(lng: float, lat: float, zoom: int) -> tuple[int, int]:
     """Latitudes beyond the square of the projection count as its edge."""
     n, r = 1 << zoom, math.radians(max(-MERCATOR_LAT, min(MERCATOR_LAT, lat)))
@@ -37,42 +30,9 @@ def tile_of(lng: float, lat: float, zoom: int) -> tuple[int, int]:
     return max(0, min(n - 1, math.floor(x))), max(0, min(n - 1, math.floor(y)))
 
 
-def cells_in_box(sw_lng: float, sw_lat: float, ne_lng: float, ne_lat: float, resolution: int, mode: str = "cover") -> list[str]:
-    """Cells that meet the box; with mode="center" only those whose centre lies in it."""
-    z = MERCATOR_ZOOM[resolution]
-    (x0, y1), (x1, y0) = tile_of(sw_lng, sw_lat, z), tile_of(ne_lng, ne_lat, z)
-    out = []
-    for x in range(x0, x1 + 1):
-        for y in range(y0, y1 + 1):
-            lng = (x + 0.5) / (1 << z) * 360.0 - 180.0
-            lat = math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (y + 0.5) / (1 << z)))))
-            if mode == "cover" or (sw_lng <= lng <= ne_lng and sw_lat <= lat <= ne_lat):
-                out.append(f"{z:02x}{x:08x}{y:08x}")
-    return out
-
-
-def cell_tile(cell_hex: str, zoom: int) -> tuple[int, int] | None:
-    """The tile that holds a cell, where the cell is no larger than a tile."""
-    if len(cell_hex) != 18 or (down := int(cell_hex[:2], 16) - zoom) < 0:
-        return None
-    return int(cell_hex[2:10], 16) >> down, int(cell_hex[10:], 16) >> down
-
-
-def centre_in_box(cell_hex: Column, sw_lng: float, sw_lat: float, ne_lng: float, ne_lat: float, resolution: int) -> Column:
-    """Whether a cell's centre lies in a box: two ranges of its fixed-width digits, however many cells there are."""
-    n = 1 << MERCATOR_ZOOM[resolution]
-    mercator = lambda lat: (1.0 - math.asinh(math.tan(math.radians(max(-MERCATOR_LAT, min(MERCATOR_LAT, lat))))) / math.pi) / 2.0 * n
-    x0, x1 = math.ceil((sw_lng + 180.0) / 360.0 * n - 0.5), math.floor((ne_lng + 180.0) / 360.0 * n - 0.5)
-    y0, y1 = math.ceil(mercator(ne_lat) - 0.5), math.floor(mercator(sw_lat) - 0.5)
-    digits = lambda v: f"{max(0, v):08x}"
-    if x1 < max(0, x0) or y1 < max(0, y0):
-        return F.lit(False)
-    return F.substring(cell_hex, 3, 8).between(digits(x0), digits(x1)) & F.substring(cell_hex, 11, 8).between(digits(y0), digits(y1))
-
-
 def cell_to_long(cell_hex: Column) -> Column:
-    """The integer of a cell id of up to 15 hex digits after its zoom; ids of 18 digits keep x and y."""
-    return F.conv(F.substring(cell_hex, -15, 15), 16, 10).cast("long")
+    """The integer of a cell's hex digits; cells lie below 2^63."""
+    return F.conv(cell_hex, 16, 10).cast("long")
 
 
 def degrees_to_meters_lng(lat: Column, deg: Column) -> Column:

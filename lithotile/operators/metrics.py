@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, scoring, wkb
+from ..functions import geo, h3, scoring, wkb
 from ..sources.registry import BuildingDataset, Dataset
 
 RESOLUTIONS = (7, 8, 9, 10)
 
 
 def with_cells(df: DataFrame, lat: str = "centroid_lat", lng: str = "centroid_lng", zoom: int = 10) -> DataFrame:
-    cells = {f"h3_{r}": geo.cell(F.col(lat), F.col(lng), r) for r in RESOLUTIONS}
-    return df.withColumns(cells | {"tile_z": F.lit(zoom), "tile_x": geo.tile_x(F.col(lng), zoom), "tile_y": geo.tile_y(F.col(lat), zoom)})
+    """df with its cells of RESOLUTIONS, all from one pass over the points, and its tile."""
+    df = df.withColumn("_cells", h3.points_to_cells(RESOLUTIONS)(F.col(lat), F.col(lng)))
+    cells = {f"h3_{r}": F.lower(F.hex(F.col("_cells")[f"r{r}"])) for r in RESOLUTIONS}
+    return df.withColumns(cells | {"tile_z": F.lit(zoom), "tile_x": geo.tile_x(F.col(lng), zoom), "tile_y": geo.tile_y(F.col(lat), zoom)}).drop("_cells")
 
 
 def stage_features(source: DataFrame, dataset: Dataset, zoom: int = 10, normalize_country: bool = False) -> DataFrame:
@@ -57,13 +59,25 @@ def type_distribution(features: DataFrame, cell: str = "h3_8") -> DataFrame:
 def cell_metrics(features: DataFrame, cell: str = "h3_8", digits: int = 6) -> DataFrame:
     """Per cell: n, entropy in bits, variance of the type shares, bucket; two aggregations and no join.
 
-    With N = sum n: entropy = log2 N - sum(n log2 n) / N and var_pop(n / N) = var_pop(n) / N^2, so no share is needed first.
+    With N = sum n over k types: entropy = log2 N - sum(n log2 n) / N, and the population variance of the shares n / N is
+    (k * sum n^2 - N^2) / (k * N)^2: whole numbers, so the order in which partial sums merge can't change its last digit.
     """
+    exact = lambda c: F.col(c).cast("decimal(19,0)")
     per = type_distribution(features, cell).withColumn("x", F.col("n") * F.log2(F.col("n").cast("double")))
-    agg = per.groupBy(cell).agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.var_pop("n").alias("v"))
+    agg = per.groupBy(cell).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum(exact("n") * exact("n")).alias("s2"))
     raw = F.greatest(F.lit(0.0), F.log2(F.col("n").cast("double")) - F.col("x") / F.col("n"))
+    variance = _rounded(F.col("k") * F.col("s2") - exact("n") * exact("n"), F.col("k") * F.col("n"), digits)
     agg = agg.withColumn("raw", F.when(F.abs(raw) < 1e-12, 0.0).otherwise(raw))
-    return agg.select(cell, "n", F.round("raw", digits).alias("entropy_score"), F.round(F.col("v") / F.col("n") / F.col("n"), digits).alias("cell_variance"), scoring.entropy_bucket(F.col("raw")).alias("entropy_bucket"))
+    return agg.select(cell, "n", F.round("raw", digits).alias("entropy_score"), variance.alias("cell_variance"), scoring.entropy_bucket(F.col("raw")).alias("entropy_bucket"))
+
+
+def _rounded(top: Column, root: Column, digits: int) -> Column:
+    """top / root^2 as a double of so many digits, halves up, in whole numbers of up to 38 digits; in doubles for roots of 10^12 and more."""
+    small = F.when(root < 10**12, root).otherwise(1).cast("decimal(13,0)")
+    square = (small * small).cast("decimal(26,0)")
+    scaled = F.when(root < 10**12, top).otherwise(0).cast("decimal(27,0)") * F.lit(2 * 10**digits)
+    whole = F.call_function("div", scaled + square, square * F.lit(2)).cast("double") / float(10**digits)
+    return F.when(root < 10**12, whole).otherwise(F.round(top.cast("double") / root.cast("double") / root.cast("double"), digits))
 
 
 def cell_density(features: DataFrame, cell: str = "h3_9") -> DataFrame:

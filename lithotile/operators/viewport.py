@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import logging
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, scoring, wkb, zoom as Z
+from ..functions import h3, scoring, wkb, zoom as Z
 from ..sources.lake import tile_range
 from ..sources.registry import BuildingDataset
+from ..sources.shared import bounded_join
 
 log = logging.getLogger("lithotile")
+#: Resolutions whose cells the lake stores.
+STORED = (7, 8, 9, 10)
 Box = tuple[float, float, float, float]
 
 
@@ -45,7 +49,7 @@ def check_limit(limit: int | None) -> int | None:
 
 
 def check_cell(cell: str) -> str:
-    if not re.fullmatch(r"[0-9a-f]{15,18}", cell):
+    if not re.fullmatch(r"[0-9a-f]{15,16}", cell):
         raise QueryError(f"{cell!r} is no cell id")
     return cell
 
@@ -91,7 +95,7 @@ def query_h3(features: DataFrame, cell: str, resolution: int | None = None, zoom
     """Features of a cell; the resolution given, else the zoom's, else 8."""
     check_cell(cell), check_zoom(zoom), check_limit(limit)
     resolution = resolution if resolution is not None else Z.resolution_for_zoom(zoom) if zoom is not None else 8
-    if resolution not in geo.MERCATOR_ZOOM:
+    if resolution not in STORED:
         raise QueryError(f"resolution {resolution} is not stored")
     return top(_important(features.filter(F.col(f"h3_{resolution}") == cell), zoom), _limit(zoom, limit), F.desc_nulls_last("importance_byte"), F.asc("feature_id"))
 
@@ -101,8 +105,8 @@ def overlaps(box: Box, column: str = "bbox") -> Column:
     return (b["xmin"] <= box[2]) & (b["xmax"] >= box[0]) & (b["ymin"] <= box[3]) & (b["ymax"] >= box[1])
 
 
-def query_buildings(buildings: DataFrame, dataset: BuildingDataset, box: Box, zoom: int, *, occupancy: str | None = None, quadkey: str | None = None, limit: int = 1000, mode: str = "cover") -> DataFrame:
-    """Enriched rows by the box's cells, then by centroid and area; raw rows by their boxes' overlap and size in degrees."""
+def query_buildings(buildings: DataFrame, dataset: BuildingDataset, box: Box, zoom: int, *, occupancy: str | None = None, quadkey: str | None = None, limit: int = 1000, mode: str = "cells") -> DataFrame:
+    """Enriched rows of the cells whose centre lies in the box (mode="box": rows whose centroid does), by area; raw rows whose boxes overlap it, by size in degrees."""
     x = _in_view(buildings, dataset, box, zoom, occupancy, quadkey, mode)
     check_limit(limit)
     if dataset.h3_enriched:
@@ -116,20 +120,38 @@ def _in_view(buildings: DataFrame, dataset: BuildingDataset, box: Box, zoom: int
     if max(box[2] - box[0], box[3] - box[1]) > 0.5:
         log.warning("a wide building viewport: %s", box)
     if dataset.h3_enriched:
-        # the cells that cover a box and then the box itself are the box; cells by their centre are two ranges of digits
-        x = buildings.filter(in_box(box) if mode == "cover" else geo.centre_in_box(F.col("h3_9"), *box, 9))
+        x = in_cells(buildings, ring(box), 9) if mode == "cells" else buildings.filter(in_box(box))
     else:
         x = buildings.filter(overlaps(box)).filter(dataset.quadkey_filter(quadkey))
     return x.filter(F.col("occupancy") == occupancy) if occupancy else x
 
 
+def ring(box: Box) -> list[list[tuple[float, float]]]:
+    return [[(box[0], box[1]), (box[2], box[1]), (box[2], box[3]), (box[0], box[3])]]
+
+
+def in_cells(rows: DataFrame, rings: list[list[tuple[float, float]]], res: int) -> DataFrame:
+    """Rows of the cells of a resolution whose centre lies in a polygon of rings of (lng, lat).
+
+    The cells are a table, which is broadcast only if it is small. Centroids lie in their cell, so a box around the polygon's
+    cells is a filter that reaches the scan; there is none for a polygon near a pole or across the antimeridian.
+    """
+    area, up = h3.Area(rings), 0.65 * h3.spacing_degrees(res)
+    if area.box is not None and not area.crosses and max(abs(area.box[1]), abs(area.box[3])) + up < 89:
+        side = up / math.cos(math.radians(max(abs(area.box[1]), abs(area.box[3])) + up))
+        if min(area.box[0] - side, -180) == -180 and max(area.box[2] + side, 180) == 180:
+            rows = rows.filter(in_box((area.box[0] - side, area.box[1] - up, area.box[2] + side, area.box[3] + up)))
+    cells = h3.cells_in_polygon(rows.sparkSession, rings, res).withColumnRenamed("cell", f"h3_{res}")
+    return bounded_join(rows, cells, [f"h3_{res}"], "left_semi")
+
+
 def occupancy_counts(rows: DataFrame, height: str) -> DataFrame:
     """One row: total, one count for each occupancy, with_height."""
     return rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("occupancy") == o).alias(o.lower()) for o in ("RES", "COM", "IND", "CIV", "UNK")], F.count_if(F.col(height).isNotNull()).alias("with_height"))
 
 
 def building_stats(buildings: DataFrame, dataset: BuildingDataset, box: Box, zoom: int, *, occupancy: str | None = None, quadkey: str | None = None) -> DataFrame:
-    return occupancy_counts(_in_view(buildings, dataset, box, zoom, occupancy, quadkey, "cover"), "height_m" if dataset.h3_enriched else "height")
+    return occupancy_counts(_in_view(buildings, dataset, box, zoom, occupancy, quadkey, "cells"), "height_m" if dataset.h3_enriched else "height")
 
 
 def in_viewports(points: DataFrame, viewports: DataFrame, lat: str = "centroid_lat", lng: str = "centroid_lng", degrees: float = 0.25) -> DataFrame:

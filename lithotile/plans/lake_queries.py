@@ -6,22 +6,25 @@ engines. Every query reads its whole table; limits are those of the viewport ser
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo, scoring, wkb, zoom as Z
+from ..functions import geo, h3, scoring, wkb, zoom as Z
 from ..operators import exporters
 from ..operators import metrics as M
 from ..operators import viewport as V
 from ..session import ship
 from ..sources import lake
 from ..sources import registry as R
+from . import h3_sql
 
 BOX = (36.70, -1.40, 36.90, -1.20)
 MINUTE = "20250101T0000"
+#: The cell of resolution 7 at 1.2921 S, 36.8219 E, and a polygon with a hole.
+_CELL7 = "877a6e42cffffff"
+POLYGON = [[(36.70, -1.40), (36.90, -1.38), (36.85, -1.20), (36.72, -1.25)], [(36.78, -1.33), (36.82, -1.33), (36.80, -1.28)]]
 KENYA = R.BUILDINGS.get("kenya-buildings")
 KENYA_ENRICHED = R.BuildingDataset("KE", "", "kenya", ("1223", "1232", "1233"), h3_enriched=True)
 
@@ -223,7 +226,8 @@ _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bbox_zoom9": _bbox(9),
     "bbox_zoom12": _bbox(12),
     "bbox_zoom15": _bbox(15),
-    "h3_cell_query": lambda s, d: V.query_h3(scored(s, d), geo.cells_in_box(36.8219, -1.2921, 36.8219, -1.2921, 7)[0], 7).select("feature_id", F.col("importance_byte").cast("int").alias("importance_byte")),
+    "h3_cell_query": lambda s, d: V.query_h3(scored(s, d), _CELL7, 7).select("feature_id", F.col("importance_byte").cast("int").alias("importance_byte")),
+    "features_in_polygon": lambda s, d: V.in_cells(features(s, d), POLYGON, 9).select("feature_id", "h3_9"),
     "buildings_bbox": lambda s, d: V.query_buildings(buildings(s, d), KENYA, BOX, 15).select("id", "occupancy", V.bbox_area_m2().alias("bbox_area_m2")),
     "buildings_occupancy": lambda s, d: V.query_buildings(buildings(s, d), KENYA, BOX, 15, occupancy="RES").select("id", "occupancy"),
     "buildings_cells": lambda s, d: V.query_buildings(cell_buildings(s, d), KENYA_ENRICHED, (36.80, -1.30, 36.83, -1.27), 15).select("feature_id", "area_m2"),
@@ -263,11 +267,12 @@ _FEATURES = """
         CASE WHEN o_orderpriority[1] = '3' THEN (['hospital', 'university', 'cafe'])[o_custkey % 3 + 1] END AS amenity,
         CASE WHEN o_orderpriority[1] = '4' THEN 'forest' END AS landuse, CASE WHEN o_custkey % 7 = 0 THEN CAST(o_custkey * 3 AS INTEGER) END AS population,
         CASE WHEN o_orderpriority[1] IN ('2', '3') THEN o_custkey % 97 * 1000 + 50e0 ELSE 500e0 END AS area, CASE WHEN o_orderpriority[1] = '5' THEN 'CIV' END AS occupancy FROM orders),
-    features AS (SELECT *, CASE WHEN highway IS NOT NULL THEN 'road' WHEN building IS NOT NULL THEN 'building' WHEN amenity IS NOT NULL THEN 'amenity' WHEN landuse IS NOT NULL THEN 'landuse' ELSE 'unknown' END AS feature_type,
-        CASE highway WHEN 'motorway' THEN 1 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 3 WHEN 'secondary' THEN 4 WHEN 'tertiary' THEN 5 ELSE 6 END AS road_class, {cells} FROM tagged),
+    {cells},
+    features AS (SELECT tagged.*, h3_7, h3_8, h3_9, h3_10, lat_9 AS mid_lat, lng_9 AS mid_lng, CASE WHEN highway IS NOT NULL THEN 'road' WHEN building IS NOT NULL THEN 'building' WHEN amenity IS NOT NULL THEN 'amenity' WHEN landuse IS NOT NULL THEN 'landuse' ELSE 'unknown' END AS feature_type,
+        CASE highway WHEN 'motorway' THEN 1 WHEN 'trunk' THEN 2 WHEN 'primary' THEN 3 WHEN 'secondary' THEN 4 WHEN 'tertiary' THEN 5 ELSE 6 END AS road_class, {tiles} FROM tagged JOIN cells USING (o_orderkey)),
     types AS (SELECT h3_8, feature_type, count(*) AS n FROM features GROUP BY 1, 2),
-    shares AS (SELECT h3_8, n * 1e0 / sum(n) OVER (PARTITION BY h3_8) AS p FROM types),
-    metrics AS (SELECT h3_8, sum(-p * log2(p)) AS raw, round(0e0 - sum(p * log2(p)) + 0e0, 6) AS entropy_score, round(var_pop(p), 6) AS cell_variance FROM shares GROUP BY 1),
+    shares AS (SELECT h3_8, n, n * 1e0 / sum(n) OVER (PARTITION BY h3_8) AS p FROM types),
+    metrics AS (SELECT h3_8, sum(-p * log2(p)) AS raw, round(0e0 - sum(p * log2(p)) + 0e0, 6) AS entropy_score, {variance} AS cell_variance FROM shares GROUP BY 1),
     bucketed AS (SELECT h3_8, CASE WHEN abs(raw) < 1e-9 THEN 0e0 ELSE entropy_score END AS entropy_score, cell_variance, CAST(least(floor(least(raw / log2(10), 1e0) * 10), 9) AS INTEGER) AS entropy_bucket FROM metrics),
     density AS (SELECT h3_9, count(*) AS n FROM features GROUP BY 1),
     weighted AS (SELECT f.*, greatest(0, d.n - 1) AS neighbours, lower(coalesce(nullif(building, ''), nullif(amenity, ''), occupancy, '')) AS tag FROM features f JOIN density d USING (h3_9)),
@@ -276,14 +281,17 @@ _FEATURES = """
 """
 
 
-def _cells_sql() -> str:
+#: The population variance of shares n / N over k types, (k * sum n^2 - N^2) / (k * N)^2, in whole numbers, halves up at 6 digits.
+_VARIANCE = "((2000000::HUGEINT * (count(*)::HUGEINT * sum(n * n)::HUGEINT - sum(n)::HUGEINT * sum(n)::HUGEINT) + count(*)::HUGEINT * count(*)::HUGEINT * sum(n)::HUGEINT * sum(n)::HUGEINT) // (2::HUGEINT * count(*)::HUGEINT * count(*)::HUGEINT * sum(n)::HUGEINT * sum(n)::HUGEINT))::DOUBLE / 1e6"
+
+
+def _tiles_sql() -> str:
     x = lambda z: f"CAST(floor((lng + 180e0) / 360e0 * {1 << z}) AS INTEGER)"
-    y = lambda z: f"CAST(floor((1e0 - ln(tan(radians(lat)) + 1e0 / cos(radians(lat))) / {math.pi!r}e0) / 2e0 * {1 << z}) AS INTEGER)"
-    out = [f"10 AS tile_z, {x(10)} AS tile_x, {y(10)} AS tile_y, {x(12)} AS tile12_x, {y(12)} AS tile12_y"]
-    return ", ".join(out + [f"printf('%02x%08x%08x', {z}, {x(z)}, {y(z)}) AS h3_{r}" for r, z in geo.MERCATOR_ZOOM.items()])
+    y = lambda z: f"CAST(floor((1e0 - ln(tan(radians(lat)) + 1e0 / cos(radians(lat))) / pi()) / 2e0 * {1 << z}) AS INTEGER)"
+    return f"10 AS tile_z, {x(10)} AS tile_x, {y(10)} AS tile_y, {x(12)} AS tile12_x, {y(12)} AS tile12_y"
 
 
-_F = "WITH" + _FEATURES.replace("{cells}", _cells_sql())
+_F = "WITH RECURSIVE" + _FEATURES.replace("{cells}", h3_sql.cells("cells", "tagged", "o_orderkey", M.RESOLUTIONS).lstrip()).replace("{tiles}", _tiles_sql()).replace("{variance}", _VARIANCE)
 _B = """WITH buildings AS (SELECT p_partkey AS id, p_size, CASE p_type WHEN 'ECONOMY' THEN 'RES' WHEN 'STANDARD' THEN 'RES' WHEN 'LARGE' THEN 'COM' WHEN 'MEDIUM' THEN 'IND' WHEN 'PROMO' THEN 'CIV' WHEN 'SMALL' THEN 'UNK' END AS occupancy,
         (['1223', '1232', '1233', '1202'])[p_partkey % 4 + 1] || p_partkey AS quadkey,
         CASE p_partkey % 5 WHEN 0 THEN 'H:' || p_size WHEN 1 THEN 'HBET:' || p_size || '-' || (p_size + 2) WHEN 2 THEN 'HHT:' || p_size || '.5' WHEN 3 THEN CAST(p_size AS VARCHAR) END AS height,
@@ -293,7 +301,9 @@ _B = """WITH buildings AS (SELECT p_partkey AS id, p_size, CASE p_type WHEN 'ECO
         CASE WHEN height LIKE 'H:%' THEN CAST(substr(height, 3) AS DOUBLE) * 3.5e0 WHEN height LIKE 'HBET:%' THEN (p_size + 1) * 3.5e0 WHEN height LIKE 'HHT:%' THEN CAST(substr(height, 5) AS DOUBLE) ELSE CAST(height AS DOUBLE) END AS height_m,
         CASE WHEN height LIKE 'H:%' THEN p_size * 1e0 WHEN height LIKE 'HBET:%' THEN p_size + 1e0 WHEN height LIKE 'HHT:%' THEN (p_size + 0.5e0) / 3.5e0 ELSE CAST(height AS DOUBLE) / 3.5e0 END AS height_floors FROM buildings)"""
 _IN = "xmin <= 36.90e0 AND xmax >= 36.70e0 AND ymin <= -1.20e0 AND ymax >= -1.40e0 AND (quadkey LIKE '1223%' OR quadkey LIKE '1232%' OR quadkey LIKE '1233%')"
-_IN9 = "lng BETWEEN 36.80e0 AND 36.83e0 AND lat BETWEEN -1.30e0 AND -1.27e0"
+#: Buildings with their cell of resolution 9 and that cell's centre; those of the viewport lie in cells whose centre lies in it.
+_B9 = _B.replace("WITH buildings", "WITH RECURSIVE buildings") + "," + h3_sql.cells("cells", "shaped", "id", (9,)) + ", celled AS (SELECT * FROM shaped JOIN cells USING (id))"
+_IN9 = "lng_9 BETWEEN 36.80e0 AND 36.83e0 AND lat_9 BETWEEN -1.30e0 AND -1.27e0"
 _COUNTS = "count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE occupancy = '{o}') AS {o.lower()}" for o in ("RES", "COM", "IND", "CIV", "UNK")) + ", count({h}) AS with_height"
 _STATS = """, tiles AS (SELECT 12 AS tile_z, tile12_x AS tile_x, tile12_y AS tile_y, count(*) AS feature_count, CAST(sum(length(feature_id) * 100) AS BIGINT) AS size_bytes, avg(entropy_score) AS entropy FROM scored GROUP BY 1, 2, 3)"""
 _T = "WITH towns(key, lat, lng, lat_extent, lng_extent, dataset_key) AS (VALUES " + ", ".join(f"('{k}', {t.lat!r}e0, {t.lng!r}e0, {t.lat_extent!r}e0, {t.lng_extent!r}e0, {'NULL' if t.dataset_key is None else repr(t.dataset_key)})" for k, t in R.TOWNS.items()) + ")"
@@ -316,16 +326,20 @@ def _tile10(lng: str, lat: str) -> str:
     return f"10 AS tile_z, CAST(floor(({lng} + 180e0) / 360e0 * 1024) AS INTEGER) AS tile_x, CAST(floor((1e0 - ln(tan(radians({lat})) + 1e0 / cos(radians({lat}))) / pi()) / 2e0 * 1024) AS INTEGER) AS tile_y"
 
 
+def _inside(lng: str, lat: str) -> str:
+    """Sides of POLYGON that a ray to the east of each feature's point crosses."""
+    sides = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for r in POLYGON for a, b in zip(r, [*r[1:], r[0]], strict=True))
+    return f""", sides(x1, y1, x2, y2) AS (VALUES {sides}), crossed AS (SELECT o_orderkey, count(*) FILTER (WHERE (y1 > {lat}) <> (y2 > {lat}) AND {lng} < x1 + ({lat} - y1) / (y2 - y1) * (x2 - x1)) AS n FROM features, sides GROUP BY 1)"""
+
+
 def _bbox_sql(least: int, limit: int) -> str:
     return f"{_F} SELECT feature_id, entropy_bucket, importance_byte FROM scored WHERE lng BETWEEN 36.70e0 AND 36.90e0 AND lat BETWEEN -1.40e0 AND -1.20e0 AND importance_byte >= {least} ORDER BY entropy_bucket, importance_byte DESC, feature_id LIMIT {limit}"
 
 
 _OLD = _F + """, types2 AS (SELECT h3_8, substr(feature_type, 1, 1) AS feature_type, count(*) AS n FROM features GROUP BY 1, 2), shares2 AS (SELECT h3_8, n * 1e0 / sum(n) OVER (PARTITION BY h3_8) AS p FROM types2),
     old AS (SELECT h3_8, sum(-p * log2(p)) AS raw, CAST(least(floor(least(sum(-p * log2(p)) / log2(10), 1e0) * 10), 9) AS INTEGER) AS bucket FROM shares2 GROUP BY 1)"""
-_SEVEN = _F + """, types7 AS (SELECT h3_7, feature_type, count(*) AS n FROM features GROUP BY 1, 2), shares7 AS (SELECT h3_7, n * 1e0 / sum(n) OVER (PARTITION BY h3_7) AS p FROM types7),
-    metrics7 AS (SELECT h3_7, round(sum(-p * log2(p)), 6) AS e, round(var_pop(p), 6) AS v FROM shares7 GROUP BY 1)"""
-_CELL7 = geo.cells_in_box(36.8219, -1.2921, 36.8219, -1.2921, 7)[0]
-
+_SEVEN = _F + f""", types7 AS (SELECT h3_7, feature_type, count(*) AS n FROM features GROUP BY 1, 2), shares7 AS (SELECT h3_7, n, n * 1e0 / sum(n) OVER (PARTITION BY h3_7) AS p FROM types7),
+    metrics7 AS (SELECT h3_7, round(sum(-p * log2(p)), 6) AS e, {_VARIANCE} AS v FROM shares7 GROUP BY 1)"""
 ORACLES = {
     "feature_type_case": f"{_F} SELECT feature_id, feature_type FROM features",
     "road_class_case": f"{_F} SELECT feature_id, road_class FROM features",
@@ -349,11 +363,12 @@ ORACLES = {
     "bbox_zoom12": _bbox_sql(40, 2000),
     "bbox_zoom15": _bbox_sql(0, 5000),
     "h3_cell_query": f"{_F} SELECT feature_id, importance_byte FROM scored WHERE h3_7 = '{_CELL7}' ORDER BY importance_byte DESC, feature_id LIMIT 5000",
+    "features_in_polygon": f"{_F}{_inside('mid_lng', 'mid_lat')} SELECT feature_id, h3_9 FROM features JOIN crossed USING (o_orderkey) WHERE n % 2 = 1",
     "buildings_bbox": f"{_B} SELECT id, occupancy, area AS bbox_area_m2 FROM shaped WHERE {_IN} ORDER BY (xmax - xmin) * (ymax - ymin) DESC, id LIMIT 1000",
     "buildings_occupancy": f"{_B} SELECT id, occupancy FROM shaped WHERE {_IN} AND occupancy = 'RES' ORDER BY (xmax - xmin) * (ymax - ymin) DESC, id LIMIT 1000",
-    "buildings_cells": f"{_B} SELECT 'building/' || id AS feature_id, area AS area_m2 FROM shaped WHERE {_IN9} ORDER BY area DESC, feature_id LIMIT 1000",
+    "buildings_cells": f"{_B9} SELECT 'building/' || id AS feature_id, area AS area_m2 FROM celled WHERE {_IN9} ORDER BY area DESC, feature_id LIMIT 1000",
     "building_stats": f"{_B} SELECT {_COUNTS.format(h='height')} FROM shaped WHERE {_IN}",
-    "building_stats_cells": f"{_B} SELECT {_COUNTS.format(h='height_m')} FROM shaped WHERE {_IN9}",
+    "building_stats_cells": f"{_B9} SELECT {_COUNTS.format(h='height_m')} FROM celled WHERE {_IN9}",
     "height_parse": f"{_B} SELECT id, height_m, round(height_floors, 6) AS height_floors FROM shaped",
     "height_parse_raw_path": f"{_B} SELECT id, CASE WHEN height LIKE 'HBET:%' THEN (p_size + 1) * 3e0 WHEN height LIKE 'H%' THEN NULL ELSE CAST(height AS DOUBLE) END AS height_m FROM shaped",
     "geojson_buildings": f"{_B} SELECT 'Feature' AS type, 'Point' AS geometry_type, id, CASE WHEN height LIKE 'HBET:%' THEN (p_size + 1) * 3e0 WHEN height LIKE 'H%' THEN NULL ELSE CAST(height AS DOUBLE) END AS height_m, area AS bbox_area_m2 FROM shaped",

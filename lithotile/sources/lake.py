@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import geo, scoring, wkb
+from ..functions import geo, h3, scoring, wkb
 from .registry import BUILDINGS, DATASETS, BuildingDataset, Dataset, lake_root, view_name
 
 _SHARED = (
@@ -99,9 +99,9 @@ def tile_range(box: tuple[float, float, float, float], zoom: int = 10, prefix: s
 
 
 def cell_tiles(cell: str, zoom: int = 10) -> Column | None:
-    """The partition of a cell, where a tile holds it; lakes of another zoom are not pruned."""
-    at = geo.cell_tile(cell, zoom)
-    return None if at is None else (F.col("p_tile_z") != zoom) | ((F.col("p_tile_x") == at[0]) & (F.col("p_tile_y") == at[1]))
+    """The partitions that a cell can touch; None, which prunes nothing, near a pole or the antimeridian. Lakes of another zoom are not pruned."""
+    box = h3.cell_box(cell) if h3.is_cell(cell) else None
+    return None if box is None else tile_range(box, zoom, "p_")
 
 
 def write_lake(features: DataFrame, path: str, max_records: int = 2_000_000) -> None:
@@ -150,7 +150,7 @@ def write_manifest(stats: DataFrame, country: str, path: str, zoom: int, resolut
     ]
     now = now or datetime.now(timezone.utc)
     manifest = {
-        "countryCode": country, "tileZoom": zoom, "h3Resolutions": list(resolutions), "cellProvider": "mercator", "generatedAt": now.replace(tzinfo=None).isoformat() + "Z",
+        "countryCode": country, "tileZoom": zoom, "h3Resolutions": list(resolutions), "cellProvider": "h3", "generatedAt": now.replace(tzinfo=None).isoformat() + "Z",
         "tile_count": len(tiles), "total_features": sum(t["featureCount"] for t in tiles), "tileKeys": tiles, "budgetHint": BUDGET,
     }
     spark = stats.sparkSession

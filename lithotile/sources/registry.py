@@ -144,11 +144,11 @@ class Town:
         return {"dataset": self.dataset_key, "sw_lng": sw_lng, "sw_lat": sw_lat, "ne_lng": ne_lng, "ne_lat": ne_lat} | ({"zoom": zoom} if zoom is not None else {})
 
     def cell_params(self, resolution: int = 9, zoom: int | None = None) -> dict:
-        from ..functions.geo import cells_in_box
+        from ..functions import h3
 
         if self.dataset_key is None:
             raise ValueError(f"{self.name} has no dataset")
-        return {"dataset": self.dataset_key, "h3_cell": cells_in_box(self.lng, self.lat, self.lng, self.lat, resolution)[0], "resolution": resolution} | ({"zoom": zoom} if zoom is not None else {})
+        return {"dataset": self.dataset_key, "h3_cell": h3.to_hex(h3.latlng_to_cells([self.lat], [self.lng], (resolution,))[0])[0], "resolution": resolution} | ({"zoom": zoom} if zoom is not None else {})
 
 
 def slug(name: str) -> str:
