@@ -61,12 +61,12 @@ def test_search(spark, seed):
     assert sorted(map(tuple, tput.search(b, d, k=2).collect()), key=str) == ranked(items, docs, 2)
 
 
-def test_search_shuffles_what_is_not_small(spark, monkeypatch):
+@pytest.mark.parametrize(("slack", "item_bytes", "block_bytes"), [(1, 1 << 20, 3000), (9, 300, 1 << 20)])
+def test_search_in_groups_and_blocks(spark, monkeypatch, slack, item_bytes, block_bytes):
     items, docs = corpus(3, 100)
-    small = tput.bounded_join
-    monkeypatch.setattr(tput, "bounded_join", lambda *a, **k: small(*a, **k, bound=0))
-    got = tput.search(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
-    assert sorted(map(tuple, got.collect()), key=str) == ranked(items, docs)
+    monkeypatch.setattr(tput, "BLOCK_BYTES", block_bytes)
+    got = tput.search(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), slack=slack, item_bytes=item_bytes, k=4)
+    assert sorted(map(tuple, got.collect()), key=str) == ranked(items, docs, 4)
 
 
 def test_search_empty(spark):
