@@ -1,16 +1,21 @@
-"""Geometry from WKB and EWKB: one Arrow decode per row gives centroid, envelope, metric area and perimeter, WKT and GeoJSON."""
+"""Geometry from WKB and EWKB: centroid, envelope, metric area and perimeter by whole batches (wkb_batch), WKT and GeoJSON text by row."""
 
 from __future__ import annotations
 
 import json
 import math
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import wkb_batch
+
 KINDS = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
 Geometry = tuple  # (kind, coordinates or parts)
 
@@ -65,10 +70,10 @@ def _read(b: memoryview, at: int) -> tuple[Geometry, int]:
     return (kind, parts if kind == "GeometryCollection" else [p[1] for p in parts]), at
 
 
-def _simple(g: Geometry) -> list[Geometry]:
+def simple_parts(g: Geometry) -> list[Geometry]:
     kind, body = g
     if kind == "GeometryCollection":
-        return [s for p in body for s in _simple(p)]
+        return [s for p in body for s in simple_parts(p)]
     if kind.startswith("Multi"):
         return [(kind[5:], p) for p in body]
     return [g]
@@ -76,7 +81,7 @@ def _simple(g: Geometry) -> list[Geometry]:
 
 def vertices(g: Geometry) -> list[tuple[float, float]]:
     out = []
-    for kind, body in _simple(g):
+    for kind, body in simple_parts(g):
         out += [body] * (body is not None) if kind == "Point" else body if kind == "LineString" else [p for ring in body for p in ring]
     return out
 
@@ -96,7 +101,7 @@ def _ring(r: list) -> tuple[float, float, float]:
 def centroid(g: Geometry) -> tuple[float, float] | None:
     """Weighted by area if there is any, else by length, else the mean of the points."""
     area = mx = my = 0.0
-    for kind, body in _simple(g):
+    for kind, body in simple_parts(g):
         if kind == "Polygon":
             for k, r in enumerate(body):
                 a, x, y = _ring(r)
@@ -104,8 +109,8 @@ def centroid(g: Geometry) -> tuple[float, float] | None:
                 area, mx, my = area + s * a, mx + s * x, my + s * y
     if area:
         return mx / area, my / area
-    total = 0.0
-    for kind, body in _simple(g):
+    total = mx = my = 0.0
+    for kind, body in simple_parts(g):
         for line in [body] if kind == "LineString" else body if kind == "Polygon" else []:
             for (x0, y0), (x1, y1) in zip(line, line[1:], strict=False):
                 d = math.hypot(x1 - x0, y1 - y0)
@@ -134,8 +139,10 @@ def utm(lng: np.ndarray, lat: np.ndarray, epsg: int) -> tuple[np.ndarray, np.nda
 
 def area_perimeter(g: Geometry, epsg: int) -> tuple[float, float]:
     area = around = 0.0
-    for kind, body in _simple(g):
+    for kind, body in simple_parts(g):
         for k, r in enumerate(body if kind == "Polygon" else []):
+            if not r:
+                continue
             p = np.asarray(r, float)
             x, y = utm(p[:, 0], p[:, 1], epsg)
             a = abs(_ring(list(zip(x, y, strict=True)))[0])
@@ -209,7 +216,7 @@ def meets_box(g: Geometry, box: tuple[float, float, float, float]) -> bool:
                 odd = not odd
         return odd
 
-    for kind, body in _simple(g):
+    for kind, body in simple_parts(g):
         for line in [body] if kind == "LineString" else body if kind == "Polygon" else []:
             if any(cut(p, q) for p, q in zip(line, line[1:], strict=False)):
                 return True
@@ -222,27 +229,14 @@ SHAPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("lng", "lat", "
 
 
 def shape_udf(epsg: int | None = None):  # noqa: ANN201
-    """struct<lng,lat,xmin,ymin,xmax,ymax,area_m2,perimeter_m> of a WKB column; malformed or null WKB gives nulls."""
-
-    @F.pandas_udf(SHAPE)
-    def shape(wkb: pd.Series) -> pd.DataFrame:
-        from lithotile.functions import wkb as own
+    """struct<lng,lat,xmin,ymin,xmax,ymax,area_m2,perimeter_m> of a WKB column, by whole batches; malformed or null WKB gives nulls."""
 
-        rows = []
-        for data in wkb:
-            row = [None] * 8
-            try:
-                g = own.parse(bytes(data)) if data is not None else None
-                c, p = (own.centroid(g), own.vertices(g)) if g else (None, [])
-            except ValueError:
-                c, p, g = None, [], None
-            if c:
-                xs, ys = [x for x, _ in p], [y for _, y in p]
-                row = [*c, min(xs), min(ys), max(xs), max(ys), *(own.area_perimeter(g, epsg) if epsg else (None, None))]
-            rows.append(row)
-        return pd.DataFrame(rows, columns=SHAPE.names, dtype=float)
+    def shape(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            found = wkb_batch.shapes(column, epsg)
+            yield pa.StructArray.from_arrays([pa.array(found[n], mask=np.isnan(found[n])) for n in SHAPE.names], names=SHAPE.names)
 
-    return shape
+    return F.arrow_udf(shape, SHAPE)
 
 
 @F.pandas_udf(T.StringType())
@@ -266,29 +260,18 @@ def geojson_wkt(text: pd.Series) -> pd.Series:
 
 
 def meets_box_udf(box: tuple[float, float, float, float]):  # noqa: ANN201
-    @F.pandas_udf(T.BooleanType())
-    def meets(wkb: pd.Series) -> pd.Series:
-        from lithotile.functions import wkb as own
-
-        def one(data: bytes | None) -> bool:
-            try:
-                return data is not None and own.meets_box(own.parse(bytes(data)), box)
-            except ValueError:
-                return False
-
-        return wkb.map(one)
+    def meets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array(wkb_batch.meets(column, box))
 
-    return meets
+    return F.arrow_udf(meets, T.BooleanType())
 
 
-@F.pandas_udf(T.BinaryType())
-def box_to_wkb(xmin: pd.Series, ymin: pd.Series, xmax: pd.Series, ymax: pd.Series) -> pd.Series:
+def box_to_wkb(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """Little-endian WKB of boxes: a polygon of one closed ring, or a point where the box has no extent."""
-    import struct
 
-    def one(a: float, b: float, c: float, d: float) -> bytes:
-        if a == c and b == d:
-            return struct.pack("<BI2d", 1, 1, a, b)
-        return struct.pack("<BIII10d", 1, 3, 1, 5, a, b, c, b, c, d, a, d, a, b)
+    def encode(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield wkb_batch.boxes(*(np.asarray(c.cast(pa.float64())) for c in columns))
 
-    return pd.Series([one(*v) for v in zip(xmin, ymin, xmax, ymax, strict=True)], dtype=object)
+    return F.arrow_udf(encode, T.BinaryType())(xmin, ymin, xmax, ymax)
