@@ -71,12 +71,14 @@ def _seeded(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 17, block: int = 16, shard_words: int = 1 << 16, max_shards: int = 4096, cap: int = 3) -> DataFrame:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 17, block: int = 16, shard_words: int = 1 << 16, max_shards: int = 4096, cap: int = 3, row_col: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies (0 to cap: for a mix of whole documents).
 
-    block: words in a block; shard_words: words for which a source gets another shard, up to max_shards.
+    block: words in a block; shard_words: words for which a source gets another shard, up to max_shards; row_col: a number of
+    each row, which then comes with its plan as the column row and orders rows that are equal otherwise.
     """
-    sized = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    row = [] if row_col is None else ["row"]
+    sized = stash(docs.select(*[F.col(row_col).alias(r) for r in row], F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
     sources = source_targets(sized.groupBy("src").agg(F.sum("size").alias("source_size")), cap=cap)
     one = Window.partitionBy(F.lit(0))
     sources = sources.withColumn("blocks", F.round(F.sum("target").over(one) / block).cast("long")).withColumn("one", F.lit(0))
@@ -85,14 +87,14 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long").alias("shards"),
     )
     sources = stash(sources, "mix-sources")
-    keyed = sized.select("doc_id", "size", F.coalesce("src", F.lit("")).alias("src_key"), F.col("src").isNull().alias("src_null"))
+    keyed = sized.select(*row, "doc_id", "size", F.coalesce("src", F.lit("")).alias("src_key"), F.col("src").isNull().alias("src_null"))
     keyed = bounded_join(keyed, sources.drop("src"), ["src_key", "src_null"])
     keyed = keyed.withColumn("order", _seeded(seed, F.col("doc_id"))).withColumn("shard", F.pmod(_seeded(seed + 1, F.col("doc_id")), F.col("shards")))
     shard = ["src_key", "src_null", "shard"]
     parts = keyed.groupBy(*shard).agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
     quotas = stash(sainte_lague(parts, ["src_key", "src_null"], ["shard"], "words", "seats").select(*shard, "words", "quota"), "mix-quotas")
     laid = bounded_join(keyed, quotas, shard)
-    along = Window.partitionBy(*shard).orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy(*shard).orderBy("order", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = laid.withColumn("start", F.sum("size").over(along) - F.col("size"))
     blocks, some, size = F.col("blocks"), F.col("words") > 0, F.col("size")
     laid = laid.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("words") / block)).cast("long"))
@@ -111,15 +113,19 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     laid = laid.withColumn("from", run_from).withColumn("to", F.col("from") + F.least(F.col("rest") * block, F.col("words")))
     hit = lambda shift: ((F.col("start") + shift >= F.col("from")) & (F.col("start") + shift < F.col("to"))).cast("long")
     return laid.select(
-        "doc_id", "size", "source_size", "target", F.when((size > 0) & (F.col("rest") > 0), F.col("passes") * size + taken).otherwise(F.col("passes") * size).cast("long").alias("taken"),
+        *row, "doc_id", "size", "source_size", "target", F.when((size > 0) & (F.col("rest") > 0), F.col("passes") * size + taken).otherwise(F.col("passes") * size).cast("long").alias("taken"),
         F.when(size > 0, F.col("passes") + hit(F.lit(0)) + hit(F.col("words"))).otherwise(0).cast("long").alias("copies"),
     )
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed table itself: whole documents, each as often as the seeded choice takes it, in the columns of docs."""
-    plan = plan_mix(docs, id_col, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"))
-    plan = plan.withColumnRenamed("doc_id", "_planned")
-    rows = rows.join(plan, F.col("_id").eqNullSafe(F.col("_planned")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")
+    """The mixed table itself: whole documents, each row as often as the seeded choice takes it, in the columns of docs.
+
+    Rows are planned one by one, so rows that repeat a doc_id or have none are taken each as often as its own plan says.
+    """
+    texts = [options.get("text_col", "text"), options.get("source_col", "source")]
+    rows = docs.select(F.monotonically_increasing_id().alias("nr"), F.struct("*").alias("row"), *[F.col(c).alias(f"_{k}") for k, c in enumerate([id_col, *texts])])
+    rows = stash(rows, "mix-rows")
+    plan = plan_mix(rows, "_0", **options | {"text_col": "_1", "source_col": "_2", "row_col": "nr"}).filter("copies > 0").select(F.col("row").alias("nr"), "copies")
+    joined = rows.select("nr", "row").join(plan, "nr")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")
