@@ -84,35 +84,31 @@ def plan_batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def batches_of(sized: DataFrame, *, buckets: int = 16, budget: int = 16384, shards: int = 1024, seed: int = 23) -> DataFrame:
-    """plan_batches for a written table of doc_id and length."""
+    """plan_batches for a written table of doc_id and length, and perhaps nr, a number of each row that then comes with its plan."""
+    nr = ["nr"] if "nr" in sized.columns else []
     # Different lengths: their number squared is less than 2 * (ids + lengths), so 100 thousand at 5 * 10^9 ids.
     histogram = sorted((r.length, r.n) for r in sized.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
     ends = choose_boundaries([c for c, _ in histogram], [n for _, n in histogram], buckets) or [0]
     bounds = F.array(*[F.lit(x).cast("long") for x in ends])
     bucket = F.array_size(F.filter(bounds, lambda e: e < F.col("length")))
     x = sized.withColumn("bucket", bucket).withColumn("padded_length", F.element_at(bounds, F.col("bucket") + 1))
-    x = x.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod("order", F.lit(shards)))
+    # rows without a doc_id are spread by their number
+    x = x.withColumn("order", F.xxhash64(F.lit(seed), F.when(F.col("doc_id").isNull(), F.col("nr")).otherwise(F.col("doc_id")) if nr else F.col("doc_id"))).withColumn("shard", F.pmod("order", F.lit(shards)))
     counts = x.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))  # buckets * shards rows at most
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("bucket", "shard").orderBy("order", "doc_id", "length")
+    within = Window.partitionBy("bucket", "shard").orderBy("order", "doc_id", "length", *nr)
     x = x.withColumn("rank", F.row_number().over(within)).join(F.broadcast(offsets), ["bucket", "shard"])
     place = F.col("rank") + F.col("offset") - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("padded_length")))).cast("long")
-    return x.select("doc_id", "length", "bucket", "padded_length", F.floor(place / room).cast("long").alias("batch"), F.pmod(place, room).cast("long").alias("slot"))
+    return x.select(*nr, "doc_id", "length", "bucket", "padded_length", F.floor(place / room).cast("long").alias("batch"), F.pmod(place, room).cast("long").alias("slot"))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = 16, budget: int = 16384, tokenizer: str | None = None) -> DataFrame:
-    """docs with pack_bucket, pack_length, pack_batch and pack_slot in place of columns of those names.
-
-    Rows that share a doc_id (or have none) and a length get one place each, any of theirs.
-    """
-    rows = stash(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), n_tokens(F.col(text_col), tokenizer).alias("_length")), "pack-rows")
-    plan = batches_of(rows.select(F.col("_id").alias("doc_id"), F.col("_length").alias("length")), buckets=buckets, budget=budget)
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_length").orderBy("_length")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "length").orderBy("bucket", "batch", "slot"))
-    plan = plan.withColumn("nth", nth)
-    joined = rows.join(plan, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_length") == F.col("length")) & (F.col("_nth") == F.col("nth")))
+    """docs with pack_bucket, pack_length, pack_batch and pack_slot in place of columns of those names. Each row has its own place."""
+    rows = docs.select(F.monotonically_increasing_id().alias("nr"), F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), n_tokens(F.col(text_col), tokenizer).alias("length"))
+    rows = stash(rows, "pack-rows")
+    plan = batches_of(rows.select("nr", "doc_id", "length"), buckets=buckets, budget=budget)
     out = {"pack_bucket": "bucket", "pack_length": "padded_length", "pack_batch": "batch", "pack_slot": "slot"}
-    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in out]
-    return joined.select(*kept, *[F.col(c).alias(k) for k, c in out.items()])
+    joined = rows.select("nr", "row").join(plan.select("nr", *out.values()), "nr")
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in out], *[F.col(c).alias(k) for k, c in out.items()])
