@@ -137,14 +137,15 @@ def held_out(doc_id):  # noqa: ANN001, ANN201
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_class: int = 4000, max_chars: int = 16_000) -> tuple[np.ndarray, float]:
-    """Fit on a bounded sample: per_class labelled rows of each class at most, by hash, with texts of max_chars at most."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_class: int = 4000, max_chars: int = 16_000, max_rows: int = 16_000) -> tuple[np.ndarray, float]:
+    """Fit on a bounded sample: per_class labelled rows of each class at most, by hash, with texts of max_chars at most, and of rows that repeat such ids max_rows."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out("doc_id")).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
     pick = lambda y: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = pick(0).union(pick(1))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()  # 2 * per_class ids
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(max_rows).toPandas()  # of 2 * per_class ids
     rows = rows.sort_values(["doc_id", "text"])
     return train(rows["text"].tolist(), rows["toxic"].tolist(), prior=share)
 
