@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions import zoom as Z
 from .operators import viewport as V
-from .sources import lake
+from .sources import lake, snapshots
 from .sources import registry as R
 
 
@@ -65,27 +65,37 @@ class Engine:
         return R.TOWNS.get(key).cell_params(resolution, zoom)
 
     def query_bbox(self, dataset: str, box: V.Box, zoom: int | None = None, limit: int | None = None) -> DataFrame:
-        tiles = lake.tile_range(V.check_box(box), self.tile_zoom, "p_")
-        return V.query_bbox(lake.scan_features(self.spark, R.DATASETS.get(dataset), tiles), box, zoom, limit)
+        d = R.DATASETS.get(dataset)
+        tiles = lake.tile_range(V.check_box(box), self._zooms(lake.features_path(d)), "p_")
+        return V.query_bbox(lake.scan_features(self.spark, d, tiles), box, zoom, limit)
 
     def query_h3(self, dataset: str, cell: str, resolution: int | None = None, zoom: int | None = None, limit: int | None = None) -> DataFrame:
-        tiles = lake.cell_tiles(V.check_cell(cell), self.tile_zoom)
-        return V.query_h3(lake.scan_features(self.spark, R.DATASETS.get(dataset), tiles), cell, resolution, zoom, limit)
+        d = R.DATASETS.get(dataset)
+        tiles = lake.cell_tiles(V.check_cell(cell), self._zooms(lake.features_path(d)))
+        return V.query_h3(lake.scan_features(self.spark, d, tiles), cell, resolution, zoom, limit)
+
+    def _zooms(self, path: str) -> list[int]:
+        """Zooms of the tiles that a lake has; the usual one where there is no lake, whose scan then says so."""
+        version = snapshots.current(self.spark, path)
+        return version["zooms"] if version else [self.tile_zoom]
 
     def query_buildings(self, dataset: str, box: V.Box, zoom: int, **options) -> DataFrame:
         b = R.BUILDINGS.get(dataset)
         V.check_gate(zoom, b)
-        return V.query_buildings(self._buildings(b, box, options.get("mode", "cover")), b, box, zoom, **options)
+        return V.query_buildings(self._buildings(b, box, options.get("mode", "cells")), b, box, zoom, **options)
 
     def building_stats(self, dataset: str, box: V.Box, zoom: int, **options) -> DataFrame:
         b = R.BUILDINGS.get(dataset)
         V.check_gate(zoom, b)
         return V.building_stats(self._buildings(b, box), b, box, zoom, **options)
 
-    def _buildings(self, b: R.BuildingDataset, box: V.Box, mode: str = "cover") -> DataFrame:
-        """Cells by their centre may hold centroids outside the box, so only a covering query prunes tiles."""
-        tiles = lake.tile_range(V.check_box(box), self.tile_zoom, "p_") if mode == "cover" else None
-        return lake.scan_buildings(self.spark, b, tiles=tiles)
+    def _buildings(self, b: R.BuildingDataset, box: V.Box, mode: str = "cells") -> DataFrame:
+        """Rows of cells whose centre lies in the box may lie a little beyond it, so tiles are pruned by a wider box."""
+        V.check_box(box)
+        if not b.h3_enriched:
+            return lake.scan_buildings(self.spark, b)
+        wide = box if mode == "box" else V.around_cells(box, 9)
+        return lake.scan_buildings(self.spark, b, tiles=lake.tile_range(wide, self._zooms(b.enriched_path()), "p_") if wide else None)
 
     def read_tile(self, dataset: str, z: int, x: int, y: int) -> DataFrame:
         """The rows of a tile; a tile that the lake does not hold is not found."""
@@ -97,5 +107,5 @@ class Engine:
     def read_manifest(self, dataset: str) -> dict:
         try:
             return lake.read_manifest(self.spark, lake.lake_path(R.DATASETS.get(dataset)))
-        except AnalysisException as e:
+        except (AnalysisException, FileNotFoundError) as e:
             raise V.QueryError(f"the lake of {dataset} has no manifest", "NOT_FOUND", dataset=dataset) from e

@@ -136,15 +136,23 @@ def in_cells(rows: DataFrame, rings: list[list[tuple[float, float]]], res: int)
     The cells are a table, which is broadcast only if it is small. Centroids lie in their cell, so a box around the polygon's
     cells is a filter that reaches the scan; there is none for a polygon near a pole or across the antimeridian.
     """
-    area, up = h3.Area(rings), 0.65 * h3.spacing_degrees(res)
-    if area.box is not None and not area.crosses and max(abs(area.box[1]), abs(area.box[3])) + up < 89:
-        side = up / math.cos(math.radians(max(abs(area.box[1]), abs(area.box[3])) + up))
-        if min(area.box[0] - side, -180) == -180 and max(area.box[2] + side, 180) == 180:
-            rows = rows.filter(in_box((area.box[0] - side, area.box[1] - up, area.box[2] + side, area.box[3] + up)))
+    area = h3.Area(rings)
+    if area.box is not None and not area.crosses and (wide := around_cells(area.box, res)):
+        rows = rows.filter(in_box(wide))
     cells = h3.cells_in_polygon(rows.sparkSession, rings, res).withColumnRenamed("cell", f"h3_{res}")
     return bounded_join(rows, cells, [f"h3_{res}"], "left_semi")
 
 
+def around_cells(box: Box, res: int) -> Box | None:
+    """A box that holds all points of the cells whose centre lies in a box; None near a pole or the antimeridian."""
+    up = 0.65 * h3.spacing_degrees(res)
+    far = max(abs(box[1]), abs(box[3])) + up
+    if far >= 89:
+        return None
+    side = up / math.cos(math.radians(far))
+    return (box[0] - side, box[1] - up, box[2] + side, box[3] + up) if -180 <= box[0] - side and box[2] + side <= 180 else None
+
+
 def occupancy_counts(rows: DataFrame, height: str) -> DataFrame:
     """One row: total, one count for each occupancy, with_height."""
     return rows.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("occupancy") == o).alias(o.lower()) for o in ("RES", "COM", "IND", "CIV", "UNK")], F.count_if(F.col(height).isNotNull()).alias("with_height"))

@@ -1,4 +1,4 @@
-"""Command line: python -m lithotile.partition --dataset KEY (--source PATH | --table NAME) [--output ROOT] [--zoom N] [--dry-run]."""
+"""Command line: python -m lithotile.partition --dataset KEY (--source PATH | --table NAME) [--output ROOT] [--zoom N] [--target-features N] [--tiles Z/X/Y ...] [--hysteresis] [--dry-run]."""
 
 from __future__ import annotations
 
@@ -17,14 +17,18 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--output")
     p.add_argument("--zoom", type=int, default=10)
     p.add_argument("--h3-resolutions", type=int, nargs="+", default=[7, 8, 9, 10])
+    p.add_argument("--target-features", type=int, help="tiles of several zooms with at most so many features each, instead of tiles of one zoom")
+    p.add_argument("--tiles", nargs="+", help="Z/X/Y of the tiles to write again; the others stay")
+    p.add_argument("--hysteresis", action="store_true", help="cells whose entropy has moved little keep their bucket")
     p.add_argument("--dry-run", action="store_true")
     a = p.parse_args(argv)
     try:
         print(pipeline.resolve(a.dataset))
         if a.dry_run:
             return 0
+        tiles = [tuple(map(int, t.split("/"))) for t in a.tiles] if a.tiles else None
         spark = local_session()
-        m = pipeline.run(spark, a.dataset, spark.read.parquet(a.source) if a.source else spark.table(a.table), a.output, a.zoom, tuple(a.h3_resolutions))
+        m = pipeline.run(spark, a.dataset, spark.read.parquet(a.source) if a.source else spark.table(a.table), a.output, a.zoom, tuple(a.h3_resolutions), tiles=tiles, target_features=a.target_features, hysteresis=a.hysteresis)
     except ValueError as e:
         print(e)
         return 1

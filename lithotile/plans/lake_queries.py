@@ -131,7 +131,7 @@ def _roundtrip(s: SparkSession, d: str) -> DataFrame:
     from ..sources.shared import folder
 
     path = f"{folder(s)}/lake"
-    x = scored(s, d).withColumn("zorder_key", scoring.zorder_key(geo.cell_to_long(F.col("h3_10")), F.col("feature_id"))).withColumn("compressed_size_bytes", F.lit(0).cast("long"))
+    x = scored(s, d).withColumn("zorder_key", scoring.zorder_key(geo.cell_to_long(F.col("h3_8")), F.col("feature_id"))).withColumn("compressed_size_bytes", F.lit(0).cast("long"))
     lake.write_lake(x, path)
     back = lake.scan_lake(s, path)
     return back.groupBy(*lake.TILE).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("importance_byte").cast("long")).alias("importance"))
@@ -143,8 +143,7 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
 
     path = f"{folder(s)}/manifest"
     lake.write_manifest(_stats(s, d), "KE", path, 12, M.RESOLUTIONS)
-    rows = [(t["z"], t["x"], t["y"], t["featureCount"], t["compressedSizeBytes"], t["fetchPriority"], t["parquetUrl"]) for t in lake.read_manifest(s, path)["tileKeys"]]
-    return s.createDataFrame(rows, "tile_z int, tile_x int, tile_y int, feature_count long, size_bytes long, fetch_priority string, url string")
+    return lake.manifest_tiles(s, path).select(F.col("z").alias("tile_z"), F.col("x").alias("tile_x"), F.col("y").alias("tile_y"), F.col("featureCount").alias("feature_count"), F.col("compressedSizeBytes").alias("size_bytes"), F.col("fetchPriority").alias("fetch_priority"), F.col("parquetUrl").alias("url"))
 
 
 def _exported(s: SparkSession, d: str) -> DataFrame:
@@ -222,7 +221,7 @@ _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adaptive_resolution": lambda s, d: M.cell_metrics(features(s, d), "h3_7").select("h3_7", scoring.adaptive_resolution(F.col("entropy_score"), F.col("cell_variance")).alias("resolution")),
     "hysteresis": _hysteresis,
     "partition_run_id": lambda s, d: scored(s, d).select("feature_id", "partition_run_id"),
-    "zorder_key": lambda s, d: features(s, d).select("feature_id", scoring.zorder_key(geo.cell_to_long(F.col("h3_10")), F.col("feature_id")).alias("zorder_key")),
+    "zorder_key": lambda s, d: features(s, d).select("feature_id", scoring.zorder_key(geo.cell_to_long(F.col("h3_8")), F.col("feature_id")).alias("zorder_key")),
     "bbox_zoom9": _bbox(9),
     "bbox_zoom12": _bbox(12),
     "bbox_zoom15": _bbox(15),
@@ -239,6 +238,7 @@ _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tile_manifest": lambda s, d: _stats(s, d).select("tile_z", "tile_x", "tile_y", "feature_count", "size_bytes", F.round("entropy", 4).alias("entropy"), "fetch_priority", "tile_path"),
     "manifest_totals": lambda s, d: _stats(s, d).agg(F.count(F.lit(1)).alias("tile_count"), F.sum("feature_count").alias("total_features")),
     "distinct_tiles": lambda s, d: features(s, d).select(*lake.TILE).distinct(),
+    "adaptive_tiles": lambda s, d: M.adaptive_tiles(features(s, d), 500, 6, 16),
     "top10_tiles": lambda s, d: _stats(s, d).orderBy(F.desc("feature_count"), *lake.TILE).limit(10).select("tile_x", "tile_y", "feature_count"),
     "towns_bbox": lambda s, _: _towns_boxes(s).select("key", *_r("sw_lng", "sw_lat", "ne_lng", "ne_lat")),
     "towns_buildings_link": lambda s, _: R.towns_df(s).join(F.broadcast(R.building_datasets_df(s)), F.col("dataset_key") == F.col("osm_dataset_key"), "left").select("key", "building_key", "zoom_gate"),
@@ -375,6 +375,10 @@ ORACLES = {
     "tile_manifest": f"{_F}{_STATS} SELECT tile_z, tile_x, tile_y, feature_count, size_bytes, round(entropy, 4) AS entropy, CASE WHEN entropy > 1.5 AND size_bytes > 50000 THEN 'immediate' WHEN size_bytes < 5000 THEN 'defer' ELSE 'background' END AS fetch_priority, printf('z%d/%d/%d.parquet', tile_z, tile_x, tile_y) AS tile_path FROM tiles",
     "manifest_totals": f"{_F}{_STATS} SELECT count(*) AS tile_count, CAST(sum(feature_count) AS BIGINT) AS total_features FROM tiles",
     "distinct_tiles": f"{_F} SELECT DISTINCT tile_z, tile_x, tile_y FROM features",
+    "adaptive_tiles": f"""{_F}, deep AS (SELECT CAST(floor((lng + 180e0) / 360e0 * 65536) AS INTEGER) AS x, CAST(floor((1e0 - ln(tan(radians(lat)) + 1e0 / cos(radians(lat))) / pi()) / 2e0 * 65536) AS INTEGER) AS y FROM features),
+        chains AS (SELECT x, y, CAST(z AS INTEGER) AS z, x >> CAST(16 - z AS INTEGER) AS tx, y >> CAST(16 - z AS INTEGER) AS ty FROM deep, range(6, 17) t(z)),
+        held AS (SELECT z, tx, ty, count(*) AS n FROM chains GROUP BY ALL), tiled AS (SELECT c.x, c.y, c.z, c.tx, c.ty, h.n FROM (SELECT DISTINCT * FROM chains) c JOIN held h USING (z, tx, ty))
+        SELECT DISTINCT z AS tile_z, tx AS tile_x, ty AS tile_y, n FROM tiled QUALIFY z = coalesce(min(CASE WHEN n <= 500 THEN z END) OVER (PARTITION BY x, y), 16)""",
     "top10_tiles": f"{_F}{_STATS} SELECT tile_x, tile_y, feature_count FROM tiles ORDER BY feature_count DESC, tile_x, tile_y LIMIT 10",
     "towns_bbox": f"{_T}, {_BOXES} SELECT key, round(sw_lng, 6) AS sw_lng, round(sw_lat, 6) AS sw_lat, round(ne_lng, 6) AS ne_lng, round(ne_lat, 6) AS ne_lat FROM boxes",
     "towns_buildings_link": f"{_T} SELECT key, CASE dataset_key WHEN 'kenya' THEN 'kenya-buildings' WHEN 'canary' THEN 'canary-buildings' END AS building_key, CASE WHEN dataset_key IS NOT NULL THEN 14 END AS zoom_gate FROM towns",

@@ -187,7 +187,7 @@ def test_command_line_reads_tables(spark, tmp_path):
 def test_batch_plan_decodes_once(spark, tmp_path, monkeypatch):
     """Every job of the batch plan but the staging one reads written rows: no Python in their plans."""
     plans = []
-    monkeypatch.setattr(lake, "write_lake", lambda df, path: plans.append(_plan(df)) or df.write.parquet(path))
+    monkeypatch.setattr(lake, "write_lake", lambda df, path, **_: plans.append(_plan(df)) or df.write.parquet(path))
     src = spark.createDataFrame([("node/1", {}, _point(36.8, -1.3), "kenya")], "feature_id string, tags map<string,string>, geometry binary, country string")
     with pytest.raises(Exception):  # noqa: B017  the lake was written without partitions
         pipeline.run(spark, "kenya", src, str(tmp_path))
