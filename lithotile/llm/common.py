@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20
 
 _roots: dict[str, str] = {}
+#: Paths that stash has written and release has not deleted, in order.
+written: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -53,9 +55,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, paths: list[str], unless: DataFrame) -> None:
+    """Delete written tables that the plan of `unless` does not read."""
+    read = unless.inputFiles() if paths else []
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        if not any(path.removeprefix("file://") in f for f in read):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            written.remove(path)
+
+
 def _width(field: StructField) -> Column | int:
     """Bytes of a column in a broadcast row, at least about."""
     if isinstance(field.dataType, (StringType, BinaryType)):

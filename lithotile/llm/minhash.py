@@ -252,12 +252,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows are told apart by a number of their own, so of rows that repeat a doc_id, and of rows without one, one stays where
     their texts are near; texts without words link with nothing and all stay. Columns may have any names.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("nr"), F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = stash(rows, "minhash-rows")
-    gone = near_duplicates(rows, "nr", "text", percent=percent).filter("not kept").select(F.col("doc_id").alias("nr"), "component_id")
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("nr"), F.struct("*").alias("row")), "minhash-rows")
+    gone = near_duplicates(rows.select("nr", F.col("row")[text_col].alias("text")), "nr", "text", percent=percent).filter("not kept").select(F.col("doc_id").alias("nr"), "component_id")
     gone = stash(gone, "minhash-gone")
     members = stash(gone.union(gone.select(F.col("component_id").alias("nr"), "component_id").distinct()), "minhash-groups")
     order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "nr"))
-    stays = bounded_join(rows.select("nr", "id"), members, ["nr"]).groupBy("component_id").agg(order["nr"].alias("nr")).select("nr")
+    ids = rows.select("nr", F.col("row")[id_col].cast("long").alias("id"))
+    stays = bounded_join(ids, members, ["nr"]).groupBy("component_id").agg(order["nr"].alias("nr")).select("nr")
     drop = stash(members.select("nr").join(stays, "nr", "left_anti"), "minhash-dropped")
     return bounded_join(rows.select("nr", "row"), drop, ["nr"], "left_anti").select("row.*")

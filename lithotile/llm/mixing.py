@@ -123,9 +123,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFra
 
     Rows are planned one by one, so rows that repeat a doc_id or have none are taken each as often as its own plan says.
     """
-    texts = [options.get("text_col", "text"), options.get("source_col", "source")]
-    rows = docs.select(F.monotonically_increasing_id().alias("nr"), F.struct("*").alias("row"), *[F.col(c).alias(f"_{k}") for k, c in enumerate([id_col, *texts])])
-    rows = stash(rows, "mix-rows")
-    plan = plan_mix(rows, "_0", **options | {"text_col": "_1", "source_col": "_2", "row_col": "nr"}).filter("copies > 0").select(F.col("row").alias("nr"), "copies")
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("nr"), F.struct("*").alias("row")), "mix-rows")
+    names = [id_col, options.get("text_col", "text"), options.get("source_col", "source")]
+    flat = rows.select("nr", *[F.col("row")[c].alias(f"_{k}") for k, c in enumerate(names)])
+    plan = plan_mix(flat, "_0", **options | {"text_col": "_1", "source_col": "_2", "row_col": "nr"}).filter("copies > 0").select(F.col("row").alias("nr"), "copies")
     joined = rows.select("nr", "row").join(plan, "nr")
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")
