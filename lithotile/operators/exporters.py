@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import wkb
+from ..sources import geojson
 
 
 def _json(column: str, empty: str):  # noqa: ANN202
@@ -31,12 +32,14 @@ def flat_cells(df: DataFrame) -> DataFrame:
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a FeatureCollection: id, type, geometry_type, geometry_wkt and a prop_ column for each property."""
-    raw = spark.read.text(path, wholetext=True)
-    features = raw.select(F.explode(F.from_json("value", "struct<features:array<string>>")["features"]).alias("f"))
+    """Rows of FeatureCollections: id, type, geometry_type, geometry_wkt and a prop_ column for each property of any feature.
+
+    Files are read by byte ranges (see sources/geojson); the names of properties are one distributed union, one row per name.
+    """
+    features = geojson.read_features(spark, path).select(F.col("text").alias("f"))
     get = lambda p: F.get_json_object("f", p)
     x = features.select(F.coalesce(get("$.id"), F.lit("")).alias("id"), F.coalesce(get("$.type"), F.lit("Feature")).alias("type"), F.coalesce(get("$.geometry.type"), F.lit("Unknown")).alias("geometry_type"), F.when(get("$.geometry").isNotNull(), wkb.geojson_wkt(get("$.geometry"))).alias("geometry_wkt"), F.from_json(get("$.properties"), "map<string,string>").alias("p"))
-    keys = sorted(r.k for r in x.select(F.explode(F.map_keys("p")).alias("k")).distinct().collect())  # one row per property name
+    keys = sorted(r.k for r in x.select(F.explode(F.map_keys("p")).alias("k")).distinct().toLocalIterator())
     return x.select("id", "type", "geometry_type", "geometry_wkt", *[F.col("p")[k].alias(f"prop_{k}") for k in keys])
 
 
