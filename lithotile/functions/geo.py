@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import zoom as Z
 
@@ -43,10 +47,11 @@ def degrees_to_meters_lat(deg: Column) -> Column:
     return deg * Z.M_PER_DEG_LAT
 
 
-def meters_to_degrees_lng(lat: Column, m: Column) -> Column:
-    """Null at the poles, where a degree has no length."""
+def meters_to_degrees_lng(lat: Column, m: Column, strict: bool = False) -> Column:
+    """At the poles, where a degree has no length: null, or with strict an error."""
     c = F.cos(F.radians(lat))
-    return F.when(F.abs(c) >= 1e-10, m / (Z.M_PER_DEG_LNG * c))
+    x = F.when(F.abs(c) >= 1e-10, m / (Z.M_PER_DEG_LNG * c))
+    return x.otherwise(F.when(lat.isNotNull(), F.raise_error(F.lit("no longitude at the poles")).cast("double"))) if strict else x
 
 
 def meters_to_degrees_lat(m: Column) -> Column:
@@ -120,3 +125,102 @@ def geodesic_m(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
 def growth_ratio(lat1: float, lat2: float, offset: float = 0.01) -> float:
     """How much longer a step of longitude is at lat1 than at lat2."""
     return geodesic_m(lat1, 0.0, lat1, offset) / geodesic_m(lat2, 0.0, lat2, offset)
+
+
+WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
+
+
+def _vincenty(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Distances in metres by Vincenty's inverse formula, and whether each row came to rest. Rows that have are left out of later rounds."""
+    f = WGS84_F
+    b = WGS84_A * (1 - f)
+    u1, u2 = (np.arctan((1 - f) * np.tan(np.radians(v))) for v in (lat1, lat2))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    span = np.radians((lng2 - lng1 + 180) % 360 - 180)
+    lam, rest = span.copy(), np.zeros(len(span), bool)
+    s, c, sigma, cos2, mid = (np.zeros(len(span)) for _ in range(5))
+    todo = np.arange(len(span))
+    for _ in range(rounds):
+        if not len(todo):
+            break
+        k = todo
+        x, y = np.sin(lam[k]), np.cos(lam[k])
+        s[k] = np.hypot(c2[k] * x, c1[k] * s2[k] - s1[k] * c2[k] * y)
+        c[k] = s1[k] * s2[k] + c1[k] * c2[k] * y
+        sigma[k] = np.arctan2(s[k], c[k])
+        one = np.where(s[k] == 0, 0.0, c1[k] * c2[k] * x / np.where(s[k] == 0, 1.0, s[k]))
+        cos2[k] = 1 - one**2
+        mid[k] = np.where(cos2[k] == 0, 0.0, c[k] - 2 * s1[k] * s2[k] / np.where(cos2[k] == 0, 1.0, cos2[k]))
+        g = f / 16 * cos2[k] * (4 + f * (4 - 3 * cos2[k]))
+        new = span[k] + (1 - g) * f * one * (sigma[k] + g * s[k] * (mid[k] + g * c[k] * (2 * mid[k] ** 2 - 1)))
+        still = np.abs(new - lam[k]) < 1e-14
+        lam[k] = new
+        wild = np.abs(new) > math.pi  # beyond the antipode the series has no answer
+        rest[k[still & ~wild]] = True
+        todo = k[~still & ~wild]
+    v = cos2 * (WGS84_A**2 - b * b) / (b * b)
+    big = 1 + v / 16384 * (4096 + v * (-768 + v * (320 - 175 * v)))
+    small = v / 1024 * (256 + v * (-128 + v * (74 - 47 * v)))
+    turn = small * s * (mid + small / 4 * (c * (2 * mid**2 - 1) - small / 6 * mid * (4 * s * s - 3) * (4 * mid**2 - 3)))
+    return b * big * (sigma - turn), rest
+
+
+def _waypoint(lat: np.ndarray, lng: np.ndarray, bearing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The point a quarter of the sphere away."""
+    y = np.arcsin(np.clip(np.cos(np.radians(lat)) * np.cos(bearing), -1, 1))
+    x = np.radians(lng) + np.arctan2(np.sin(bearing) * np.cos(np.radians(lat)), -np.sin(np.radians(lat)) * np.sin(y))
+    return np.degrees(y), (np.degrees(x) + 180) % 360 - 180
+
+
+def geodesics(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> np.ndarray:
+    """Distances in metres on the WGS 84 ellipsoid for arrays of points in degrees.
+
+    Where the iteration doesn't come to rest, near the antipode, the way is cut in two: any way crosses the circle a quarter
+    of the sphere from the first point, so the distance is the least sum over that circle, found by bearing.
+    """
+    out, rest = _vincenty(lat1, lng1, lat2, lng2)
+    k = np.flatnonzero(~rest)
+    if len(k):
+        a, b, c, d = (v[k] for v in (lat1, lng1, lat2, lng2))
+
+        def over(bearing: np.ndarray) -> np.ndarray:
+            y, x = _waypoint(a, b, bearing)
+            return _vincenty(a, b, y, x)[0] + _vincenty(y, x, c, d)[0]
+
+        tries = np.stack([over(np.full(len(k), t)) for t in np.arange(0, 2 * math.pi, math.pi / 90)])
+        best, width, golden = tries.argmin(axis=0) * math.pi / 90, math.pi / 90, (math.sqrt(5) - 1) / 2
+        lo, hi = best - width, best + width
+        for _ in range(40):
+            p, q = hi - golden * (hi - lo), lo + golden * (hi - lo)
+            left = over(p) < over(q)
+            lo, hi = np.where(left, lo, p), np.where(left, q, hi)
+        out[k] = over((lo + hi) / 2)
+    return out
+
+
+def _by_batch(f, n: int):  # noqa: ANN001, ANN202
+    """An Arrow function of n columns of doubles; null where any is null or not finite."""
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            v = [np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in columns]
+            good = np.isfinite(np.stack(v)).all(axis=0)
+            yield pa.array(f(*[np.where(good, c, 0.0) for c in v]), mask=~good)
+
+    return F.arrow_udf(run, T.DoubleType())
+
+
+def geodesic(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Metres between points on the WGS 84 ellipsoid, as a column."""
+    return _by_batch(geodesics, 4)(*[c.cast("double") for c in (lat1, lng1, lat2, lng2)])
+
+
+def growth(lat1: Column, lat2: Column, offset: float = 0.01) -> Column:
+    """How much longer a step of longitude is at lat1 than at lat2, as a column."""
+
+    def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        zero, step = np.zeros(len(a)), np.full(len(a), offset)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return geodesics(a, zero, a, step) / geodesics(b, zero, b, step)
+
+    return _by_batch(ratio, 2)(lat1.cast("double"), lat2.cast("double"))

@@ -181,6 +181,12 @@ def _nearest(s: SparkSession, d: str) -> DataFrame:
     return V.top(features(s, d).select("feature_id", F.round(km, 3).alias("meters")), 20, F.asc("meters"), F.asc("feature_id"))
 
 
+def _geodesics(s: SparkSession, d: str) -> DataFrame:
+    """Each feature's distance from Nairobi on the ellipsoid, and how a step of longitude grows from Mombasa's latitude to its own."""
+    lat, lng = F.col("centroid_lat"), F.col("centroid_lng")
+    return features(s, d).select("feature_id", F.round(geo.geodesic(lat, lng, F.lit(-1.2921), F.lit(36.8219)), 2).alias("meters"), F.round(geo.growth(lat, F.lit(-4.0435)), 6).alias("growth"))
+
+
 def _zooms(s: SparkSession, _: str) -> DataFrame:
     rows = [tuple(Z.describe(z, -1.2921).values())[:1] + (Z.semantic_level(z), Z.resolution_for_zoom(z), Z.feature_limit(z), Z.importance_threshold(z)) for z in range(21)]
     return s.createDataFrame(rows, "zoom int, semantic_level string, h3_resolution int, feature_limit int, importance_threshold int")
@@ -245,6 +251,7 @@ _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "town_viewport_counts": lambda s, d: V.in_viewports(features(s, d), _towns_boxes(s)).groupBy("key").agg(F.count(F.lit(1)).alias("n")),
     "zoom_describe": _zooms,
     "haversine_nearest": _nearest,
+    "geodesics": _geodesics,
     "bbox_area": lambda s, _: _towns_boxes(s).select("key", F.round(geo.bbox_area_km2(F.col("sw_lng"), F.col("sw_lat"), F.col("ne_lng"), F.col("ne_lat")), 6).alias("area_km2")),
     "features_and_buildings": lambda s, d: lake.locked(features(s, d)).unionByName(lake.locked(cell_buildings(s, d).withColumn("feature_type", F.lit("building")))).groupBy("feature_type").agg(F.count(F.lit(1)).alias("n")),
     "lake_roundtrip": _roundtrip,
@@ -326,6 +333,21 @@ def _tile10(lng: str, lat: str) -> str:
     return f"10 AS tile_z, CAST(floor(({lng} + 180e0) / 360e0 * 1024) AS INTEGER) AS tile_x, CAST(floor((1e0 - ln(tan(radians({lat})) + 1e0 / cos(radians({lat}))) / pi()) / 2e0 * 1024) AS INTEGER) AS tile_y"
 
 
+def _vincenty_sql(name: str, rows: str) -> str:
+    """CTEs that end in {name}: id and meters, for rows (id, lat1, lng1, lat2, lng2), by eight rounds of Vincenty's inverse formula."""
+    f = "(1e0 / 298.257223563e0)"
+    return f"""{name}_u AS (SELECT id, atan((1 - {f}) * tan(radians(lat1))) AS u1, atan((1 - {f}) * tan(radians(lat2))) AS u2, radians(lng2 - lng1) AS l FROM ({rows})),
+    {name}_l AS (SELECT id, u1, u2, l, l AS lam, 0 AS k FROM {name}_u UNION ALL SELECT id, u1, u2, l, l + (1 - g) * {f} * sa * (sigma + g * s * (mid + g * c * (2 * mid * mid - 1))), k + 1 FROM (
+        SELECT *, {f} / 16 * (1 - sa * sa) * (4 + {f} * (4 - 3 * (1 - sa * sa))) AS g, c - 2 * sin(u1) * sin(u2) / (1 - sa * sa) AS mid FROM (
+        SELECT *, atan2(s, c) AS sigma, CASE WHEN s = 0 THEN 0e0 ELSE cos(u1) * cos(u2) * sin(lam) / s END AS sa FROM (
+        SELECT *, sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) AS s, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS c FROM {name}_l WHERE k < 8)))),
+    {name} AS (SELECT id, 6356752.314245179e0 * (1 + v / 16384 * (4096 + v * (-768 + v * (320 - 175 * v)))) * (sigma - m * s * (mid + m / 4 * (c * (2 * mid * mid - 1) - m / 6 * mid * (4 * s * s - 3) * (4 * mid * mid - 3)))) AS meters FROM (
+        SELECT *, v / 1024 * (256 + v * (-128 + v * (74 - 47 * v))) AS m FROM (
+        SELECT *, (1 - sa * sa) * 0.00673949674227643e0 AS v, c - 2 * sin(u1) * sin(u2) / (1 - sa * sa) AS mid FROM (
+        SELECT *, atan2(s, c) AS sigma, CASE WHEN s = 0 THEN 0e0 ELSE cos(u1) * cos(u2) * sin(lam) / s END AS sa FROM (
+        SELECT *, sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) AS s, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS c FROM {name}_l WHERE k = 8)))))"""
+
+
 def _inside(lng: str, lat: str) -> str:
     """Sides of POLYGON that a ray to the east of each feature's point crosses."""
     sides = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for r in POLYGON for a, b in zip(r, [*r[1:], r[0]], strict=True))
@@ -385,6 +407,9 @@ ORACLES = {
     "town_viewport_counts": f"{_F}, {_T[5:]}, {_BOXES} SELECT key, count(*) AS n FROM features f JOIN boxes b ON f.lng BETWEEN sw_lng AND ne_lng AND f.lat BETWEEN sw_lat AND ne_lat GROUP BY key",
     "zoom_describe": "SELECT CAST(z AS INTEGER) AS zoom, CASE WHEN z <= 6 THEN 'continental' WHEN z <= 9 THEN 'metro' WHEN z <= 12 THEN 'city' WHEN z <= 15 THEN 'neighborhood' ELSE 'street' END AS semantic_level, CASE WHEN z <= 10 THEN 7 WHEN z <= 12 THEN 8 WHEN z <= 14 THEN 9 ELSE 10 END AS h3_resolution, CASE WHEN z <= 9 THEN 500 WHEN z <= 12 THEN 2000 ELSE 5000 END AS feature_limit, CASE WHEN z <= 9 THEN 80 WHEN z <= 12 THEN 40 ELSE 0 END AS importance_threshold FROM range(21) t(z)",
     "haversine_nearest": f"{_F}, a AS (SELECT feature_id, sin(radians(-1.2921e0 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(-1.2921e0)) * sin(radians(36.8219e0 - lng) / 2) ** 2 AS a FROM features) SELECT feature_id, round(2 * 6371000e0 * atan2(sqrt(a), sqrt(1 - a)), 3) AS meters FROM a ORDER BY meters, feature_id LIMIT 20",
+    "geodesics": f"""{_F}, {_vincenty_sql("away", "SELECT feature_id AS id, lat AS lat1, lng AS lng1, -1.2921e0 AS lat2, 36.8219e0 AS lng2 FROM features")},
+        {_vincenty_sql("own", "SELECT feature_id AS id, lat AS lat1, 0e0 AS lng1, lat AS lat2, 0.01e0 AS lng2 FROM features")}, {_vincenty_sql("coast", "SELECT 0 AS id, -4.0435e0 AS lat1, 0e0 AS lng1, -4.0435e0 AS lat2, 0.01e0 AS lng2")}
+        SELECT away.id AS feature_id, round(away.meters, 2) AS meters, round(own.meters / coast.meters, 6) AS growth FROM away JOIN own ON own.id = away.id, coast""",
     "bbox_area": f"{_T}, {_BOXES} SELECT key, round((ne_lng - sw_lng) * 111320e0 * cos(radians((sw_lat + ne_lat) / 2)) * (ne_lat - sw_lat) * 110574e0 / 1e6, 6) AS area_km2 FROM boxes",
     "features_and_buildings": f"{_F} SELECT feature_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT feature_type, count(*) AS n FROM features GROUP BY 1 UNION ALL SELECT 'building', count(*) FROM part) GROUP BY 1",
     "lake_roundtrip": f"{_F} SELECT tile_z, tile_x, tile_y, count(*) AS n, CAST(sum(importance_byte) AS BIGINT) AS importance FROM scored GROUP BY 1, 2, 3",
