@@ -31,6 +31,18 @@ class QueryError(ValueError):
         return {"error": {"code": self.code, "message": str(self), "details": self.details}}
 
 
+def error_envelope(error: Exception) -> dict:
+    """What a service answers for an error: a refused request by its own code, an unknown name as not found, anything else without details."""
+    if isinstance(error, QueryError):
+        return error.envelope()
+    if isinstance(error, FileNotFoundError):
+        return QueryError(str(error), "NOT_FOUND").envelope()
+    if isinstance(error, (ValueError, KeyError)):
+        return QueryError(str(error)).envelope()
+    log.error("internal error", exc_info=error)
+    return QueryError("internal error", "INTERNAL_ERROR", kind=type(error).__name__).envelope()
+
+
 def check_box(box: Box, widest: float = 10.0) -> Box:
     sw_lng, sw_lat, ne_lng, ne_lat = box
     if not (-180 <= sw_lng <= 180 and -180 <= ne_lng <= 180 and -90 <= sw_lat <= 90 and -90 <= ne_lat <= 90):

@@ -82,9 +82,20 @@ def enriched(df: DataFrame) -> DataFrame:
     return df.withColumn("centroid_geom", F.struct(F.col("centroid_lng").alias("lng"), F.col("centroid_lat").alias("lat"))).withColumn("_shape", s).withColumn("bbox_geom", F.struct(*[F.col("_shape")[c].alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])).drop("_shape")
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of an external database, with predicates and columns pushed to it."""
-    return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
+def jdbc_table(spark: SparkSession, url: str, table: str, *, key: str | None = None, parts: int | None = None, **options: str) -> DataFrame:
+    """A table of an external database, with predicates and columns pushed to it.
+
+    key: a numeric, date or timestamp column, by ranges of which `parts` connections read (as many as shuffle partitions, if not
+    given); its bounds are asked of the database, rows without a key come with the first range. Without a key one connection reads.
+    """
+    read = lambda: spark.read.format("jdbc").option("url", url).options(**options)  # noqa: E731  a reader keeps what it is told
+    if key is None:
+        return read().option("dbtable", table).load()
+    low, high = read().option("query", f"SELECT MIN({key}) AS low_key, MAX({key}) AS high_key FROM {table}").load().first()
+    if low is None:
+        return read().option("dbtable", table).load()
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read().option("dbtable", table).option("partitionColumn", key).option("lowerBound", str(low)).option("upperBound", str(high)).option("numPartitions", parts).load()
 
 
 def build_views(spark: SparkSession) -> dict[str, str]:
