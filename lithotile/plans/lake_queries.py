@@ -187,9 +187,25 @@ def _geodesics(s: SparkSession, d: str) -> DataFrame:
     return features(s, d).select("feature_id", F.round(geo.geodesic(lat, lng, F.lit(-1.2921), F.lit(36.8219)), 2).alias("meters"), F.round(geo.growth(lat, F.lit(-4.0435)), 6).alias("growth"))
 
 
-def _zooms(s: SparkSession, _: str) -> DataFrame:
+def _zooms(s: SparkSession, d: str) -> DataFrame:
+    """What each feature is shown by, at a zoom of its own."""
     rows = [tuple(Z.describe(z, -1.2921).values())[:1] + (Z.semantic_level(z), Z.resolution_for_zoom(z), Z.feature_limit(z), Z.importance_threshold(z)) for z in range(21)]
-    return s.createDataFrame(rows, "zoom int, semantic_level string, h3_resolution int, feature_limit int, importance_threshold int")
+    zooms = s.createDataFrame(rows, "zoom int, semantic_level string, h3_resolution int, feature_limit int, importance_threshold int")
+    return _read(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 21).cast("int").alias("zoom")).join(F.broadcast(zooms), "zoom")
+
+
+def _towns(s: SparkSession, d: str) -> DataFrame:
+    """The boxes of all towns with the features in them."""
+    counts = V.in_viewports(features(s, d), _towns_boxes(s)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return _towns_boxes(s).join(counts, "key", "left").select("key", *_r("sw_lng", "sw_lat", "ne_lng", "ne_lat"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _town_buildings(s: SparkSession, d: str) -> DataFrame:
+    """Towns with the building dataset of theirs and the raw buildings that it has."""
+    raw = buildings(s, d)
+    counts = [raw.filter(b.quadkey_filter()).agg(F.count(F.lit(1)).alias("n")).withColumn("building_key", F.lit(k)) for k, b in R.BUILDINGS.items()]
+    linked = R.towns_df(s).join(F.broadcast(R.building_datasets_df(s)), F.col("dataset_key") == F.col("osm_dataset_key"), "left")
+    return linked.join(counts[0].unionByName(counts[1]), "building_key", "left").select("key", "building_key", "zoom_gate", "n")
 
 
 def _previous(f: DataFrame) -> DataFrame:
@@ -246,13 +262,13 @@ _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distinct_tiles": lambda s, d: features(s, d).select(*lake.TILE).distinct(),
     "adaptive_tiles": lambda s, d: M.adaptive_tiles(features(s, d), 500, 6, 16),
     "top10_tiles": lambda s, d: _stats(s, d).orderBy(F.desc("feature_count"), *lake.TILE).limit(10).select("tile_x", "tile_y", "feature_count"),
-    "towns_bbox": lambda s, _: _towns_boxes(s).select("key", *_r("sw_lng", "sw_lat", "ne_lng", "ne_lat")),
-    "towns_buildings_link": lambda s, _: R.towns_df(s).join(F.broadcast(R.building_datasets_df(s)), F.col("dataset_key") == F.col("osm_dataset_key"), "left").select("key", "building_key", "zoom_gate"),
+    "towns_bbox": _towns,
+    "towns_buildings_link": _town_buildings,
     "town_viewport_counts": lambda s, d: V.in_viewports(features(s, d), _towns_boxes(s)).groupBy("key").agg(F.count(F.lit(1)).alias("n")),
     "zoom_describe": _zooms,
     "haversine_nearest": _nearest,
     "geodesics": _geodesics,
-    "bbox_area": lambda s, _: _towns_boxes(s).select("key", F.round(geo.bbox_area_km2(F.col("sw_lng"), F.col("sw_lat"), F.col("ne_lng"), F.col("ne_lat")), 6).alias("area_km2")),
+    "bbox_area": lambda s, d: buildings(s, d).select("id", F.round(geo.bbox_area_km2(*[F.col("bbox")[c] for c in ("xmin", "ymin", "xmax", "ymax")]), 9).alias("area_km2")),
     "features_and_buildings": lambda s, d: lake.locked(features(s, d)).unionByName(lake.locked(cell_buildings(s, d).withColumn("feature_type", F.lit("building")))).groupBy("feature_type").agg(F.count(F.lit(1)).alias("n")),
     "lake_roundtrip": _roundtrip,
     "manifest_entries": _manifest,
@@ -402,15 +418,15 @@ ORACLES = {
         held AS (SELECT z, tx, ty, count(*) AS n FROM chains GROUP BY ALL), tiled AS (SELECT c.x, c.y, c.z, c.tx, c.ty, h.n FROM (SELECT DISTINCT * FROM chains) c JOIN held h USING (z, tx, ty))
         SELECT DISTINCT z AS tile_z, tx AS tile_x, ty AS tile_y, n FROM tiled QUALIFY z = coalesce(min(CASE WHEN n <= 500 THEN z END) OVER (PARTITION BY x, y), 16)""",
     "top10_tiles": f"{_F}{_STATS} SELECT tile_x, tile_y, feature_count FROM tiles ORDER BY feature_count DESC, tile_x, tile_y LIMIT 10",
-    "towns_bbox": f"{_T}, {_BOXES} SELECT key, round(sw_lng, 6) AS sw_lng, round(sw_lat, 6) AS sw_lat, round(ne_lng, 6) AS ne_lng, round(ne_lat, 6) AS ne_lat FROM boxes",
-    "towns_buildings_link": f"{_T} SELECT key, CASE dataset_key WHEN 'kenya' THEN 'kenya-buildings' WHEN 'canary' THEN 'canary-buildings' END AS building_key, CASE WHEN dataset_key IS NOT NULL THEN 14 END AS zoom_gate FROM towns",
+    "towns_bbox": f"{_F}, {_T[5:]}, {_BOXES} SELECT key, round(sw_lng, 6) AS sw_lng, round(sw_lat, 6) AS sw_lat, round(ne_lng, 6) AS ne_lng, round(ne_lat, 6) AS ne_lat, count(f.lng) AS n FROM boxes LEFT JOIN features f ON f.lng BETWEEN sw_lng AND ne_lng AND f.lat BETWEEN sw_lat AND ne_lat GROUP BY ALL",
+    "towns_buildings_link": f"{_B}, {_T[5:]}, ours AS (SELECT 'kenya' AS dataset_key, count(*) FILTER (WHERE {_KE}) AS n FROM buildings UNION ALL SELECT 'canary', count(*) FILTER (WHERE quadkey LIKE '1202%' OR quadkey LIKE '1203%') FROM buildings) SELECT key, CASE dataset_key WHEN 'kenya' THEN 'kenya-buildings' WHEN 'canary' THEN 'canary-buildings' END AS building_key, CASE WHEN dataset_key IS NOT NULL THEN 14 END AS zoom_gate, n FROM towns LEFT JOIN ours USING (dataset_key)",
     "town_viewport_counts": f"{_F}, {_T[5:]}, {_BOXES} SELECT key, count(*) AS n FROM features f JOIN boxes b ON f.lng BETWEEN sw_lng AND ne_lng AND f.lat BETWEEN sw_lat AND ne_lat GROUP BY key",
-    "zoom_describe": "SELECT CAST(z AS INTEGER) AS zoom, CASE WHEN z <= 6 THEN 'continental' WHEN z <= 9 THEN 'metro' WHEN z <= 12 THEN 'city' WHEN z <= 15 THEN 'neighborhood' ELSE 'street' END AS semantic_level, CASE WHEN z <= 10 THEN 7 WHEN z <= 12 THEN 8 WHEN z <= 14 THEN 9 ELSE 10 END AS h3_resolution, CASE WHEN z <= 9 THEN 500 WHEN z <= 12 THEN 2000 ELSE 5000 END AS feature_limit, CASE WHEN z <= 9 THEN 80 WHEN z <= 12 THEN 40 ELSE 0 END AS importance_threshold FROM range(21) t(z)",
+    "zoom_describe": "SELECT o_orderkey, CAST(z AS INTEGER) AS zoom, CASE WHEN z <= 6 THEN 'continental' WHEN z <= 9 THEN 'metro' WHEN z <= 12 THEN 'city' WHEN z <= 15 THEN 'neighborhood' ELSE 'street' END AS semantic_level, CASE WHEN z <= 10 THEN 7 WHEN z <= 12 THEN 8 WHEN z <= 14 THEN 9 ELSE 10 END AS h3_resolution, CASE WHEN z <= 9 THEN 500 WHEN z <= 12 THEN 2000 ELSE 5000 END AS feature_limit, CASE WHEN z <= 9 THEN 80 WHEN z <= 12 THEN 40 ELSE 0 END AS importance_threshold FROM (SELECT o_orderkey, o_orderkey % 21 AS z FROM orders)",
     "haversine_nearest": f"{_F}, a AS (SELECT feature_id, sin(radians(-1.2921e0 - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(-1.2921e0)) * sin(radians(36.8219e0 - lng) / 2) ** 2 AS a FROM features) SELECT feature_id, round(2 * 6371000e0 * atan2(sqrt(a), sqrt(1 - a)), 3) AS meters FROM a ORDER BY meters, feature_id LIMIT 20",
     "geodesics": f"""{_F}, {_vincenty_sql("away", "SELECT feature_id AS id, lat AS lat1, lng AS lng1, -1.2921e0 AS lat2, 36.8219e0 AS lng2 FROM features")},
         {_vincenty_sql("own", "SELECT feature_id AS id, lat AS lat1, 0e0 AS lng1, lat AS lat2, 0.01e0 AS lng2 FROM features")}, {_vincenty_sql("coast", "SELECT 0 AS id, -4.0435e0 AS lat1, 0e0 AS lng1, -4.0435e0 AS lat2, 0.01e0 AS lng2")}
         SELECT away.id AS feature_id, round(away.meters, 2) AS meters, round(own.meters / coast.meters, 6) AS growth FROM away JOIN own ON own.id = away.id, coast""",
-    "bbox_area": f"{_T}, {_BOXES} SELECT key, round((ne_lng - sw_lng) * 111320e0 * cos(radians((sw_lat + ne_lat) / 2)) * (ne_lat - sw_lat) * 110574e0 / 1e6, 6) AS area_km2 FROM boxes",
+    "bbox_area": f"{_B} SELECT id, round((xmax - xmin) * 111320e0 * cos(radians((ymin + ymax) / 2)) * (ymax - ymin) * 110574e0 / 1e6, 9) AS area_km2 FROM shaped",
     "features_and_buildings": f"{_F} SELECT feature_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT feature_type, count(*) AS n FROM features GROUP BY 1 UNION ALL SELECT 'building', count(*) FROM part) GROUP BY 1",
     "lake_roundtrip": f"{_F} SELECT tile_z, tile_x, tile_y, count(*) AS n, CAST(sum(importance_byte) AS BIGINT) AS importance FROM scored GROUP BY 1, 2, 3",
     "manifest_entries": f"{_F}{_STATS} SELECT tile_z, tile_x, tile_y, feature_count, size_bytes, CASE WHEN entropy > 1.5 AND size_bytes > 50000 THEN 'immediate' WHEN size_bytes < 5000 THEN 'defer' ELSE 'background' END AS fetch_priority, printf('ke/z%d/%d/%d.parquet', tile_z, tile_x, tile_y) AS url FROM tiles",
